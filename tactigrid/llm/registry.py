@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from tactigrid.llm.packing import op5_packing
+from tactigrid.llm.quality import op9_quality
 from tactigrid.llm.token_counts import op3_token_counts
+from tactigrid.llm.toxicity import op1_toxicity
 from tactigrid.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {
