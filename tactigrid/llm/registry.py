@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tactigrid.llm.minhash import op7_minhash_dedup
 from tactigrid.llm.packing import op5_packing
 from tactigrid.llm.quality import op9_quality
 from tactigrid.llm.token_counts import op3_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
 }
