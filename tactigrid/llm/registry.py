@@ -8,16 +8,19 @@ from tactigrid.llm.quality import op9_quality
 from tactigrid.llm.token_counts import op3_token_counts
 from tactigrid.llm.toxicity import op1_toxicity
 from tactigrid.llm.url_filter import OP8_SQL, op8_url_filter
+from tactigrid.llm.winnow import OP6_SQL, op6_winnow_decontamination
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_winnow_decontamination": op6_winnow_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
 }
 
 ORACLES = {
+    "op6_winnow_decontamination": OP6_SQL,
     "op8_url_filter": OP8_SQL,
 }
