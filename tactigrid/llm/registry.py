@@ -5,6 +5,7 @@ from __future__ import annotations
 from tactigrid.llm.minhash import op7_minhash_dedup
 from tactigrid.llm.packing import op5_packing
 from tactigrid.llm.quality import op9_quality
+from tactigrid.llm.spotsigs import op10_spotsigs
 from tactigrid.llm.token_counts import op3_token_counts
 from tactigrid.llm.toxicity import op1_toxicity
 from tactigrid.llm.url_filter import OP8_SQL, op8_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES = {
