@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tactigrid.llm.linejoin import op4_line_dedup
 from tactigrid.llm.minhash import op7_minhash_dedup
 from tactigrid.llm.packing import op5_packing
 from tactigrid.llm.quality import op9_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_recompression_dedup": op2_recompression_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_winnow_decontamination": op6_winnow_decontamination,
     "op7_minhash_dedup": op7_minhash_dedup,
