@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tactigrid.plans import core
+from tactigrid.plans import core, more
 
-QUERIES = dict(core.QUERIES)
-ORACLES = dict(core.ORACLES)
+QUERIES = core.QUERIES | more.QUERIES
+ORACLES = core.ORACLES | more.ORACLES
