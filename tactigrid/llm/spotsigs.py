@@ -49,7 +49,9 @@ def _any(words: list[str]) -> str:
     return body + "?" * end
 
 
-ANCHORS = " (?:" + _any(COMMON) + " )+"
+#: One common word. (A pattern for a run of them would be matched by recursion, which a text of
+#: nothing else takes beyond the stack; between two of a run the cut leaves nothing, which goes.)
+ANCHOR = " " + _any(COMMON) + "(?= )"
 
 
 def spots(text: Column, chain: int = CHAIN) -> Column:
@@ -58,13 +60,13 @@ def spots(text: Column, chain: int = CHAIN) -> Column:
 
     def of(words: Column) -> Column:
         def chained(parts: Column) -> Column:
-            # parts: the content words after each anchor, up to the next; every one but the last has some
+            # parts: the content words after each anchor, up to the next
             def one(part: Column, i: Column) -> Column:
                 return F.hash(F.substring_index(F.concat_ws(" ", part, *[F.get(parts, i + k) for k in range(1, chain)]), " ", chain))
 
             return F.when(F.size(parts) > 0, F.sort_array(F.array_distinct(F.transform(parts, one)))).otherwise(F.array(F.hash(words)))
 
-        cut = F.split(F.concat(F.lit(" "), words, F.lit(" ")), ANCHORS)
+        cut = F.split(F.concat(F.lit(" "), words, F.lit(" ")), ANCHOR)
         return F.when(words == "", F.array().cast("array<int>")).otherwise(let(F.array_remove(F.transform(F.slice(cut, 2, 1 << 30), lambda p: F.trim(p)), ""), chained))
 
     return let(plain, of)
