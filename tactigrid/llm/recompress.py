@@ -18,7 +18,9 @@ revealed by high-level symbols, all others by low-level ones:
   alone are compared, by a hash of the whole window.
 
 Of equal names in one batch of texts only the first goes to the global comparison, so a passage
-that very many documents share gives a row for each batch. Texts are shuffled by id once; the
+that very many documents share gives an entry for each batch. Names travel packed, a list for
+each batch and part of the name space; a part is compared in memory, so ``spark.sql.shuffle.
+partitions`` bounds what a task holds. Texts are shuffled by id once; the
 second use reads the same shuffle.
 
 Names are 64 bits: of ``n`` different windows about ``n * n / 2**65`` pairs are taken for
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactigrid.llm.common import slices, strings
@@ -148,12 +150,67 @@ def _one_of_each(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.
     return lead, again
 
 
-SYMBOL, GRAMS = 1, 0
+def _packed(n: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    """A row for each of ``n`` parts of the keys, with all entries of a batch that fall to it: lists
+    of one kind of number side by side take a third of the room that rows would."""
+    part = (key % np.uint64(n)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    ends = pa.array(np.append(cuts, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key.view(np.int64), doc, start.astype(np.int32), long.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), *lists, pa.array(np.zeros(len(cuts), bool))], names=PACKED)
 
 
-def _names(docs: DataFrame, window: int, gram: int, low: int, high: int) -> DataFrame:
-    """Names of neighbouring high-level symbols and of anchors: (kind, key, id, start, stop, sure).
-    Sure ones were found again in their batch and have a key of their own."""
+def _settled(part: int, doc: np.ndarray, start: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    """A row of entries that need no comparison."""
+    ends = pa.array(np.array([0, len(doc)], np.int32))
+    lists = [pa.ListArray.from_arrays(pa.array(np.array([0, 0], np.int32)), pa.array(np.zeros(0, np.int64)))]
+    lists += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (doc, start.astype(np.int32), long.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists, pa.array([True])], names=PACKED)
+
+
+PACKED = ["part", "keys", "ids", "starts", "longs", "settled"]
+PACKED_SCHEMA = "part int, keys array<bigint>, ids array<bigint>, starts array<int>, longs array<int>, settled boolean"
+
+
+def _compared(packed: DataFrame, n: int) -> DataFrame:
+    """(id, start, long) of what is settled, of all grams (long 0) that came more than once, and
+    of everything else with an earlier entry of the same key.
+
+    A part is compared as a whole in memory; there are as many as shuffle partitions."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "start", "long"]
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            flags = batch.column(5).to_numpy(zero_copy_only=False)
+            for settled in (True, False):
+                rows = batch.filter(pa.array(flags == settled))
+                if not rows.num_rows:
+                    continue
+                flat = [rows.column(k).flatten() for k in range(1, 5)]
+                if settled:
+                    yield pa.RecordBatch.from_arrays(flat[1:], names=names)
+                else:
+                    for k in range(4):
+                        held[k].append(flat[k].to_numpy(zero_copy_only=False))
+        if not held[0]:
+            return
+        key, doc, start, long = (np.concatenate(x) for x in held)
+        order = np.lexsort((start, doc, key))
+        key, doc, start, long = key[order], doc[order], start[order], long[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        more = again.copy()
+        more[:-1] |= again[1:]
+        out = np.where(long == 0, more, again)
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, start, long)], names=names)
+
+    return packed.repartitionById(n, "part").mapInArrow(compare, "id bigint, start int, long int")
+
+
+def _names(docs: DataFrame, n: int, window: int, gram: int, low: int, high: int) -> DataFrame:
+    """Names of neighbouring high-level symbols (with their length) and of anchors (length 0), packed."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -168,33 +225,30 @@ def _names(docs: DataFrame, window: int, gram: int, low: int, high: int) -> Data
             stop = np.append(place[1:], len(h))
             both = np.flatnonzero(~np.append(lead[1:], True))
             alone = np.flatnonzero(lead & np.append(lead[1:], True))
-            key = np.concatenate([pair(names[both], names[np.minimum(both + 1, len(names) - 1)]), mix(names[alone])])
+            after = np.minimum(both + 1, len(names) - 1)
+            symbol = np.concatenate([pair(names[both], names[after]), mix(names[alone])])
             begin = place[np.concatenate([both, alone])]
-            end = np.concatenate([stop[np.minimum(both + 1, len(stop) - 1)], stop[alone]])
+            end = np.concatenate([stop[after], stop[alone]])
             wide = end - begin >= window
-            key, begin, end = key[wide], begin[wide], end[wide]
-            is_first, _ = _one_of_each(key, doc[begin], at0[begin])
-            kinds, keys, docs_, froms, tos, sure = [np.full(len(key), SYMBOL, np.int8)], [key], [doc[begin]], [at0[begin]], [at0[begin] + end - begin], [~is_first]
+            symbol, begin, end = symbol[wide], begin[wide], end[wide]
+            new, _ = _one_of_each(symbol, doc[begin], at0[begin])
             where, grams = anchors(h, found, first, window, gram, low)
             place = np.unique(where[where >= 0])
-            key = grams[place]
-            is_first, again = _one_of_each(key, doc[place], at0[place])
-            # one for the others to see, and all of those that were seen again here
-            for chosen, certain in ((np.flatnonzero(is_first), False), (np.flatnonzero(again), True)):
-                kinds.append(np.full(len(chosen), GRAMS, np.int8))
-                keys.append(key[chosen])
-                docs_.append(doc[place[chosen]])
-                froms.append(at0[place[chosen]])
-                tos.append(at0[place[chosen]] + gram)
-                sure.append(np.full(len(chosen), certain))
-            kind, key, who, start, to, sure_ = map(np.concatenate, (kinds, keys, docs_, froms, tos, sure))
-            key = np.where(sure_, mix(mix(who.astype(np.uint64)) + start.astype(np.uint64) * _B), key + kind.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(who), pa.array(start.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(sure_)], names=["kind", "key", "id", "start", "stop", "sure"])
-
-    return docs.mapInArrow(named, "kind tinyint, key bigint, id bigint, start int, stop int, sure boolean")
-
-
-def _places(column: pa.Array, rows: np.ndarray, found: Words) -> np.ndarray:
+            is_first, again = _one_of_each(grams[place], doc[place], at0[place])
+            # one of each for the others to see; what was seen again here is settled
+            key = np.concatenate([symbol[new], grams[place[is_first]] ^ LAST])
+            spot = np.concatenate([begin[new], place[is_first]])
+            long = np.concatenate([end[new] - begin[new], np.zeros(int(is_first.sum()), np.int64)])
+            if len(key):
+                yield _packed(n, key, doc[spot], at0[spot], long)
+            spot = np.concatenate([begin[~new], place[again]])
+            if len(spot):
+                yield _settled(int(h[0] % np.uint64(n)), doc[spot], at0[spot], np.concatenate([end[~new] - begin[~new], np.zeros(int(again.sum()), np.int64)]))
+
+    return docs.mapInArrow(named, PACKED_SCHEMA)
+
+
+def _places(column: pa.Array, found: Words) -> np.ndarray:
     """Positions in texts, a list for each row, as numbers of words of the batch."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     per = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
@@ -213,8 +267,8 @@ def _inside(found: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _windows(docs: DataFrame, window: int, gram: int, low: int) -> DataFrame:
-    """Of docs (id, text, grams, begins, ends) the windows that may be repeats: (key, id, start, sure)."""
+def _windows(docs: DataFrame, n: int, window: int, gram: int, low: int) -> DataFrame:
+    """Of docs (id, text, starts, longs) the windows that may be repeats, and what is settled, packed."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -224,43 +278,40 @@ def _windows(docs: DataFrame, window: int, gram: int, low: int) -> DataFrame:
             if not len(h):
                 continue
             where, _ = anchors(h, found, first, window, gram, low)
+            spot, size = _places(_filled(batch.column(2)), found), _filled(batch.column(3)).flatten().to_numpy(zero_copy_only=False)
             met = np.zeros(len(h) + 1, bool)
-            met[_places(_filled(batch.column(2)), found.n, found)] = True
-            long = left_in_text(found) >= window
-            maybe = long & ((where < 0) | met[where])
-            begin, end = (_places(_filled(batch.column(k)), found.n, found) for k in (3, 4))
-            maybe &= ~_inside(found, begin, end - window + 1)
+            met[spot[size == 0]] = True
+            begin, end = spot[size > 0], spot[size > 0] + size[size > 0]
+            maybe = (left_in_text(found) >= window) & ((where < 0) | met[where]) & ~_inside(found, begin, end - window + 1)
             at = np.flatnonzero(maybe)
             key = window_hashes(h, window)[at]
-            doc, start = ids[found.rows[at]], at - found.first[found.rows[at]]
-            is_first, _ = _one_of_each(key, doc, start)
-            key = np.where(is_first, key, mix(mix(doc.astype(np.uint64)) + start.astype(np.uint64) * _B))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(~is_first)], names=["key", "id", "start", "sure"])
+            doc, start = ids[found.rows], np.arange(len(h)) - found.first[found.rows]
+            new, _ = _one_of_each(key, doc[at], start[at])
+            if new.any():
+                yield _packed(n, key[new], doc[at[new]], start[at[new]], np.full(int(new.sum()), window))
+            # repeats side by side are one span
+            seen = at[~new]
+            cut = np.flatnonzero((np.diff(seen, prepend=-2) != 1) | (doc[seen] != np.append(doc[seen][:1], doc[seen][:-1]))) if len(seen) else seen
+            begin = np.concatenate([begin, seen[cut]])
+            size = np.concatenate([size[size > 0], np.diff(cut, append=len(seen)) + window - 1]) if len(seen) else size[size > 0]
+            if len(begin):
+                yield _settled(int(h[0] % np.uint64(n)), doc[begin], start[begin], size)
 
-    return docs.mapInArrow(compared, "key bigint, id bigint, start int, sure boolean")
+    return docs.mapInArrow(compared, PACKED_SCHEMA)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, low: int = LOW, high: int = HIGH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, dups, begins, ends): every row with the starts of its repeated windows and the
-    spans (from, to, exclusive) that repeat as a whole, in words from 0."""
+    """(id, text, starts, longs): every row with the spans, in words from 0, that repeat."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     dealt = texts.repartition(n, "id")
-    same = Window.partitionBy("key", "kind")
-    place = F.struct("id", "start")
-    named = _names(texts, window, gram, low, high).select("kind", "key", "id", "start", "stop", "sure", F.count("*").over(same).alias("times"), F.min(place).over(same).alias("earliest"))
-    named = named.where(F.col("sure") | ((F.col("kind") == GRAMS) & (F.col("times") > 1)) | ((F.col("kind") == SYMBOL) & (place > F.col("earliest"))))
-    symbol = F.col("kind") == SYMBOL
-    marks = named.groupBy("id").agg(
-        F.collect_list(F.when(~symbol, F.col("start"))).alias("grams"),
-        F.collect_list(F.when(symbol, F.col("start"))).alias("begins"),
-        F.collect_list(F.when(symbol, F.col("stop"))).alias("ends"),
-    )
-    tried = _windows(dealt.join(marks, "id", "left").select("id", "text", "grams", "begins", "ends"), window, gram, low)
-    again = Window.partitionBy("key")
-    dup = tried.withColumn("earliest", F.min(place).over(again)).where(F.col("sure") | (place > F.col("earliest")))
-    dups = dup.groupBy("id").agg(F.collect_set("start").alias("dups"))
-    return dealt.join(marks.select("id", "begins", "ends"), "id", "left").join(dups, "id", "left").select("id", "text", "dups", "begins", "ends")
+
+    def with_spans(found: DataFrame) -> DataFrame:
+        per = found.groupBy("id").agg(F.collect_list(F.struct("start", "long")).alias("s"))
+        return dealt.join(per.select("id", "s.start", "s.long"), "id", "left").toDF("id", "text", "starts", "longs")
+
+    marked = with_spans(_compared(_names(texts, n, window, gram, low, high), n))
+    return with_spans(_compared(_windows(marked, n, window, gram, low), n))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", texts: bool = True, **parameters) -> DataFrame:
@@ -271,8 +322,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         for batch in slices(batches, "text", SLICE):
             column = strings(batch.column(1))
             found = words(column, NOT_SPACE)
-            dups, begins, ends = (_places(_filled(batch.column(k)), found.n, found) for k in (2, 3, 4))
-            gone = _inside(found, np.concatenate([dups, begins]), np.concatenate([dups + window, ends]))
+            begin = _places(_filled(batch.column(2)), found)
+            gone = _inside(found, begin, begin + _filled(batch.column(3)).flatten().to_numpy(zero_copy_only=False))
             removed = np.bincount(found.rows[gone], minlength=len(column))
             sha, kept, first = [], [], found.first
             for i, t in enumerate(column.to_pylist()):
