@@ -137,17 +137,20 @@ def anchors(h: np.ndarray, found: Words, first: np.ndarray, window: int, gram: i
     return where, grams
 
 
-def _one_of_each(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries are the first (by doc, then place) with their name, and which names occur again."""
+def _one_of_each(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries stand for their name (the first by doc, then place), which names occur again,
+    and which entries are later than the first (a row that is there twice is no later)."""
     order = np.lexsort((at, doc, name))
+    name, doc, at = name[order], doc[order], at[order]
     new = np.ones(len(order), bool)
-    new[1:] = name[order[1:]] != name[order[:-1]]
-    more = np.zeros(len(order), bool)
-    more[:-1] |= ~new[1:]
-    more |= ~new
-    lead, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    lead[order], again[order] = new, more
-    return lead, again
+    new[1:] = name[1:] != name[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(begin, append=len(order))
+    out = np.zeros((3, len(order)), bool)
+    out[0][order] = new
+    out[1][order] = np.repeat(size > 1, size)
+    out[2][order] = (doc != np.repeat(doc[begin], size)) | (at != np.repeat(at[begin], size))
+    return out[0], out[1], out[2]
 
 
 def _packed(n: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
@@ -197,13 +200,8 @@ def _compared(packed: DataFrame, n: int) -> DataFrame:
         if not held[0]:
             return
         key, doc, start, long = (np.concatenate(x) for x in held)
-        order = np.lexsort((start, doc, key))
-        key, doc, start, long = key[order], doc[order], start[order], long[order]
-        again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        more = again.copy()
-        more[:-1] |= again[1:]
-        out = np.where(long == 0, more, again)
+        _, more, later = _one_of_each(key, doc, start)
+        out = np.where(long == 0, more, later)
         yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, start, long)], names=names)
 
     return packed.repartitionById(n, "part").mapInArrow(compare, "id bigint, start int, long int")
@@ -231,19 +229,19 @@ def _names(docs: DataFrame, n: int, window: int, gram: int, low: int, high: int)
             end = np.concatenate([stop[after], stop[alone]])
             wide = end - begin >= window
             symbol, begin, end = symbol[wide], begin[wide], end[wide]
-            new, _ = _one_of_each(symbol, doc[begin], at0[begin])
+            new, _, old = _one_of_each(symbol, doc[begin], at0[begin])
             where, grams = anchors(h, found, first, window, gram, low)
             place = np.unique(where[where >= 0])
-            is_first, again = _one_of_each(grams[place], doc[place], at0[place])
+            is_first, again, _ = _one_of_each(grams[place], doc[place], at0[place])
             # one of each for the others to see; what was seen again here is settled
             key = np.concatenate([symbol[new], grams[place[is_first]] ^ LAST])
             spot = np.concatenate([begin[new], place[is_first]])
             long = np.concatenate([end[new] - begin[new], np.zeros(int(is_first.sum()), np.int64)])
             if len(key):
                 yield _packed(n, key, doc[spot], at0[spot], long)
-            spot = np.concatenate([begin[~new], place[again]])
+            spot = np.concatenate([begin[old], place[again]])
             if len(spot):
-                yield _settled(int(h[0] % np.uint64(n)), doc[spot], at0[spot], np.concatenate([end[~new] - begin[~new], np.zeros(int(again.sum()), np.int64)]))
+                yield _settled(int(h[0] % np.uint64(n)), doc[spot], at0[spot], np.concatenate([end[old] - begin[old], np.zeros(int(again.sum()), np.int64)]))
 
     return docs.mapInArrow(named, PACKED_SCHEMA)
 
@@ -286,11 +284,11 @@ def _windows(docs: DataFrame, n: int, window: int, gram: int, low: int) -> DataF
             at = np.flatnonzero(maybe)
             key = window_hashes(h, window)[at]
             doc, start = ids[found.rows], np.arange(len(h)) - found.first[found.rows]
-            new, _ = _one_of_each(key, doc[at], start[at])
+            new, _, later = _one_of_each(key, doc[at], start[at])
             if new.any():
                 yield _packed(n, key[new], doc[at[new]], start[at[new]], np.full(int(new.sum()), window))
             # repeats side by side are one span
-            seen = at[~new]
+            seen = at[later]
             cut = np.flatnonzero((np.diff(seen, prepend=-2) != 1) | (doc[seen] != np.append(doc[seen][:1], doc[seen][:-1]))) if len(seen) else seen
             begin = np.concatenate([begin, seen[cut]])
             size = np.concatenate([size[size > 0], np.diff(cut, append=len(seen)) + window - 1]) if len(seen) else size[size > 0]
