@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,8 +64,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
         if not n:
             continue
         texts = strings(batch.column(batch.schema.get_field_index(column)))
-        import numpy as np
-
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
         at = 0
         while at < n:
@@ -72,3 +71,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at)
             at = to
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session is already gone
+        pass
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` as a table bucketed by ``key`` into as many buckets as there are shuffle partitions: one
+    shuffle, after which joins on ``key`` take the other side to where these rows are."""
+    spark = df.sparkSession
+    name = f"tactigrid_{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)

@@ -9,7 +9,7 @@
 4. Candidates are confirmed on the full sets, recomputed from the texts. First each document
    is tried with the centre it shares most buckets with; then only stars between different
    components; then, as members of a bucket may be alike without being like its centre, pairs
-   of different components within buckets. Buckets with more than ``PAIRS_UP_TO`` members are
+   of different components within buckets, each pair in the first bucket it shares. Buckets with more than ``PAIRS_UP_TO`` members are
    first split by every other band of the members, which alike texts share almost surely.
 5. Components follow by pointer jumping and, on what few links are left between them, by
    large-star / small-star rounds.
@@ -26,17 +26,16 @@ rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import materialize, slices, strings
+from tactigrid.llm.common import bucketed, materialize, slices, strings
 from tactigrid.llm.textkit import FOLD, NOT_SPACE, mix, pair, words
+from tactigrid.llm.winnow import let
 
 BINS, BANDS = 128, 32
 PAIRS_UP_TO = 48
@@ -97,18 +96,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def _shared_bands(a: str, b: str) -> Column:
+    """The bands in which two rows of short band keys agree, ascending."""
+    return F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get(F.col(a), i) == F.get(F.col(b), i))
+
+
 def _sketch(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, n = shingle_sets(strings(batch.column(1)), width)
-            keys = band_keys(signatures(sets, n)).view(np.int64)
-            owner = np.repeat(np.arange(len(n)), n)
+            signature = signatures(sets, n)
+            keys = band_keys(signature).view(np.int64)
             low, high = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             starts = (np.cumsum(n) - n)[n > 0]
             if len(starts):
                 low[n > 0] = np.add.reduceat(mix(sets), starts)
                 high[n > 0] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-            del owner
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), bands], names=["id", "n", "low", "high", "bands"])
 
@@ -172,24 +175,6 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _keep_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of ``ids`` as a table bucketed by id."""
-    spark = docs.sparkSession
-    name = f"tactigrid_texts_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").repartition(n, "id").dropDuplicates(["id"])
-    kept.write.bucketBy(n, "id").option("compression", "zstd").saveAsTable(name)
-    atexit.register(_drop, spark, name)
-    return spark.table(name)
-
-
-def _drop(spark: SparkSession, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session is already gone
-        pass
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id and kept (the smallest id of its component) of every row."""
     sketch = materialize(_sketch(docs, width, key, text), "sketch")
@@ -197,12 +182,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # equal sets: one of them stands for all
     folded = some.groupBy("low", "high", "n").agg(F.min_by(F.struct("id", "bands"), "id").alias("first"))
     single = materialize(folded.select("first.id", "n", "first.bands", "low", "high"), "single")
-    rows = materialize(single.select("id", "n", F.posexplode("bands").alias("band", "key")).select("id", "n", "key"), "buckets")
+    rows = materialize(single.select("id", "n", F.posexplode("bands").alias("band", "key")), "buckets")
     stars = rows.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("members")).where("members > 1")
     linked = rows.join(stars, "key").where("id <> b").select(F.col("id").alias("a"), "b")
     edges = materialize(linked.groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
     ids = rows.join(stars.select("key"), "key").select("id").distinct()
-    texts = _keep_texts(docs, ids, key, text)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["id"])
+    texts = bucketed(texts, "id", "texts")
 
     best = edges.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negative("b"))).alias("b"))
     sure = materialize(_confirm(best, texts, width, percent), "confirmed")
@@ -234,24 +220,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
             roots = merged(found)
 
     # members that are alike but not like the centre: pairs of different components in a bucket
-    of = rows.join(roots, "id", "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+    of = rows.join(roots, "id", "left").select("id", "n", "band", "key", F.coalesce("root", "id").alias("root"))
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key", "members")
     mixed = materialize(of.join(mixed, "key"), "mixed")
     split = mixed.where(f"members > {PAIRS_UP_TO}")
-    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "root", "key")
+    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "root", "key", "band")
     if not split.isEmpty():
-        finer = split.join(single.select("id", "bands"), "id").select("id", "n", "root", "key", F.explode("bands").alias("other")).where("other <> key")
-        finer = materialize(finer.select("id", "n", "root", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct(), "finer")
+        finer = split.join(single.select("id", "bands"), "id").select("id", "n", "root", "key", "band", F.posexplode("bands").alias("next", "other")).where("next > band")
+        # a pair of bands, the lower one first
+        finer = materialize(finer.select("id", "n", "root", F.xxhash64("key", "other").alias("key"), (BANDS * (F.col("band") + 1) + F.col("next")).alias("band")), "finer")
         sizes = finer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("lo <> hi")
-        parts = parts.union(finer.join(sizes.where(f"members <= {PAIRS_UP_TO}").select("key"), "key").select("id", "n", "root", "key"))
+        parts = parts.union(finer.join(sizes.where(f"members <= {PAIRS_UP_TO}").select("key"), "key").select("id", "n", "root", "key", "band"))
         # what still is larger shares two bands: stars with both ends as centres
         huge = finer.join(sizes.where(f"members > {PAIRS_UP_TO}"), "key").select("id", F.explode(F.array("least", "most")).alias("b")).where("id <> b")
         extra = near(across(huge.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()))
     else:
         extra = None
-    one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "key")
-    two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "key")
-    pairs = one.join(two, "key").where(f"a > b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    parts = parts.join(single.select("id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")), "id")
+    one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("short").alias("sa"), "key", "band")
+    two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("short").alias("sb"), "key")
+    # a pair that shares many buckets is taken in the first of them (or the first two bands) only
+    first = let(_shared_bands("sa", "sb"), lambda s: F.when(F.col("band") < BANDS, F.get(s, F.lit(0)) == F.col("band")).otherwise(BANDS * (F.get(s, F.lit(0)) + 1) + F.get(s, F.lit(1)) == F.col("band")))
+    fits = F.expr(f"a > b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & first
+    pairs = one.join(two, "key").where(fits).select("a", "b").distinct()
     pairs = (pairs.union(extra).distinct() if extra is not None else pairs).join(tried, ["a", "b"], "left_anti").join(todo, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "pairs")
     if not pairs.isEmpty():
