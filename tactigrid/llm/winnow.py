@@ -94,7 +94,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         none = F.array().cast("array<string>")
         base = F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("mark"), n.cast("int").alias("at"), none.alias("middle"), none.alias("before"), none.alias("after"))
         parts = [F.array(base), fingerprints(words, window, gram)]
-        parts += [F.transform(_numbers(n - m + 1), lambda at, m=m: _mark(words, at, m, m, 0)) for m in lengths]
+        marked = lambda m: lambda at: _mark(words, at, m, m, 0)
+        parts += [F.transform(_numbers(n - m + 1), marked(m)) for m in lengths]
         return F.concat(*parts)
 
     rows = docs.select(F.col(key).alias("__key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text"), F.explode(let(words_of(F.col(text)), tried)).alias("d"))
