@@ -8,17 +8,17 @@ similarity of at least ``percent`` / 100.
    worker gets; words in order of (counter, hash) are words by rarity.
 2. Lines with equal sets are settled by a digest of the set; the first one stands for all.
 3. A line that reaches the similarity shares one of its first ``n - ceil(p n) + 1`` words (its
-   prefix). First each line is tried with one line that shares words late in the prefix, the
-   earliest with that word and about that length: a star, which settles the members of large
-   groups of near copies. Lines that are settled don't probe any more, so that the join that
-   follows doesn't meet all pairs of such a group.
-4. The others probe the prefixes of all lines, under the length filter and the positional
-   filter (what can still be shared after the place of the common word), and the pairs left
-   are confirmed on the words of both lines.
+   prefix). First each line is tried with one line only, the earliest with the same least word
+   hash: a star, which settles most members of large groups of near copies. Settled lines don't
+   probe any more, so that the join that follows doesn't meet all pairs of such a group.
+4. The others probe the prefixes of all lines, under the length filter, the positional filter
+   (what can still be shared after the place of the common word) and a bitmap of the words,
+   and the pairs left are confirmed on the words of both lines.
 
 Lines of fewer than ``least`` different words are left alone.
 
-Texts are shuffled by id once; the later uses read the same shuffle.
+Before any text is fetched, bitmaps of the words turn down pairs that cannot share enough.
+Texts are shuffled by id once, into a bucketed table that the later uses read.
 
 Edge cases: null texts stay null, and blank lines stay; equal lines in one document count too;
 ids are integers, and rows with the same id are one document (rows repeated as a whole give
@@ -34,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import materialize, slices, strings
+from tactigrid.llm.common import bucketed, materialize, slices, strings
 from tactigrid.llm.textkit import NOT_SPACE, Words, mix, words
 
 PERCENT, LEAST = 80, 3
 BUCKETS = 1 << 18
-LATE = 3
+#: Lines of up to so many words have all of them in their bitmap, those of twice as many half of them, ...
+DENSE = 80
+#: Two lines whose bitmaps differ in up to so many bits are worth a try before the join.
+LIKELY = 14
 SLICE = 4 << 20
 
 
@@ -95,25 +98,41 @@ def _lines(docs: DataFrame, counts: np.ndarray, percent: int, least: int) -> Dat
             line, rank, row = line[new], rank[new], row[new]
             begin = np.flatnonzero(np.diff(line, prepend=-1))
             n = np.diff(begin, append=len(line))
+            level = np.ceil(np.log2(np.maximum(n / DENSE, 1))).astype(np.uint64)
+            bit = mix(rank + np.uint64(7))
+            kept = (bit >> np.uint64(40)) & ((np.uint64(1) << np.repeat(level, n)) - np.uint64(1)) == 0
+            one = np.where(kept, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+            bits = np.bitwise_or.reduceat(one, begin).view(np.int64)
+            least_hash = np.minimum.reduceat(bit, begin).view(np.int64)
             low, high = np.add.reduceat(mix(rank), begin), np.add.reduceat(mix(rank ^ np.uint64(0x5555555555555555)), begin)
             fine = n >= least
-            begin, n, low, high = begin[fine], n[fine], low[fine], high[fine]
+            begin, n, low, high, level, bits, least_hash = (x[fine] for x in (begin, n, low, high, level, bits, least_hash))
             doc, at = ids[row[begin]], (line[begin] - first_line[row[begin]]).astype(np.int32)
             order = np.lexsort((at, doc, high, low))
             again = np.zeros(len(order), bool)
             if len(order):
                 again[order[1:]] = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
-            long = np.where(again | (n < 5), 0, n - (n * percent + 99) // 100 + 1)
+            # (a set so small that one word more is too many is only like itself)
+            long = np.where(again | (100 * n < percent * (n + 1)), 0, n - (n * percent + 99) // 100 + 1)
             ends = np.cumsum(long)
             pick = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - long, long) + np.repeat(begin, long)
             token = (rank[pick] ^ (rank[pick] >> np.uint64(32))).astype(np.uint32).view(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(again), prefix], names=["id", "line", "n", "low", "high", "again", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(again), prefix, pa.array(level.astype(np.int32)), pa.array(bits), pa.array(least_hash)], names=["id", "line", "n", "low", "high", "again", "prefix", "level", "bits", "least_hash"])
 
-    return docs.mapInArrow(listed, "id bigint, line int, n int, low bigint, high bigint, again boolean, prefix array<int>")
+    return docs.mapInArrow(listed, "id bigint, line int, n int, low bigint, high bigint, again boolean, prefix array<int>, level int, bits bigint, least_hash bigint")
 
 
-def _line_texts(dealt: DataFrame, wanted: DataFrame) -> DataFrame:
+def _can_share(a: str, b: str, percent: int) -> Column:
+    """Whether the bitmaps of two lines (columns n, level, bits after the prefixes) let them share
+    enough words. Exact: it never turns down a pair that reaches the similarity."""
+    c = lambda p, k: F.col(f"{p}{k}")
+    own = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits"))))
+    most = F.least(c(a, "n") - own(a, b), c(b, "n") - own(b, a))
+    return (c(a, "level") != c(b, "level")) | ((100 + percent) * most >= percent * (c(a, "n") + c(b, "n")))
+
+
+def _line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, line, text) of the ``wanted`` (id, line)."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +147,10 @@ def _line_texts(dealt: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["id", "line", "text"])
 
     per = wanted.groupBy("id").agg(F.collect_set("line").alias("lines"))
-    return dealt.join(per, "id").select("id", "text", "lines").mapInArrow(picked, "id bigint, line int, text string")
+    return texts.join(per, "id").select("id", F.col("__text").alias("text"), "lines").mapInArrow(picked, "id bigint, line int, text string")
 
 
-def _confirmed(pairs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The later lines (id, line) of those ``pairs`` (id, line, to_id, to_line) that reach the similarity."""
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,38 +164,50 @@ def _confirmed(pairs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["id", "line"]).filter(pa.array(fine, pa.bool_()))
 
     wanted = pairs.select("id", "line").union(pairs.select("to_id", "to_line"))
-    texts = _line_texts(dealt, wanted)
+    texts = _line_texts(table, wanted)
     to = texts.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.col("text").alias("to_text"))
     rows = pairs.join(texts, ["id", "line"]).join(to, ["to_id", "to_line"]).select("id", "line", "text", "to_text")
     return rows.mapInArrow(confirmed, "id bigint, line int").distinct()
 
 
-def repeated_lines(docs: DataFrame, dealt: DataFrame, percent: int, least: int) -> DataFrame:
-    """(id, line) of the lines to remove. ``docs`` are (id, text), ``dealt`` the same by id."""
+def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int) -> DataFrame:
+    """(id, line) of the lines to remove. ``docs`` are (id, text), ``table`` has (id, __text) by id."""
     lines = materialize(_lines(docs, _counts(docs), percent, least), "lines")
     place = F.struct("id", "line")
-    heads = lines.where("not again").groupBy("low", "high", "n").agg(F.min(place).alias("first"))
-    equal = lines.join(heads, ["low", "high", "n"]).where(place > F.col("first")).select("id", "line")
-    one = lines.where("not again and n >= 5").join(heads, ["low", "high", "n"]).where(place == F.col("first")).select("id", "line", "n", "prefix").dropDuplicates(["id", "line"])
-    one = materialize(one, "sets")
-
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    late = one.select("id", "line", size.alias("size"), F.explode(F.slice("prefix", F.greatest(F.size("prefix") - LATE + 1, F.lit(1)), LATE)).alias("token"))
-    centres = late.groupBy("token", "size").agg(F.min(place).alias("to"), F.count("*").alias("many")).where("many > 1")
-    tried = late.join(centres, ["token", "size"]).where(F.col("to") < place).groupBy("id", "line", "to").agg(F.count("*").alias("shared"))
-    tried = tried.groupBy("id", "line").agg(F.max_by("to", F.struct("shared", F.negative("to.id"), F.negative("to.line"))).alias("to"))
-    star = materialize(_confirmed(tried.select("id", "line", F.col("to.id").alias("to_id"), F.col("to.line").alias("to_line")), dealt, percent), "settled")
-
+    heads = lines.where("not again").groupBy("low", "high").agg(F.min(place).alias("first"))
+    equal = lines.select("id", "line", "low", "high").join(heads, ["low", "high"]).where(place > F.col("first")).select("id", "line")
+
+    one = lines.where("not again and size(prefix) > 0")
+    facts = ("n", "level", "bits")
+    starred = one.select("least_hash", "id", "line", *facts)
+    centres = starred.groupBy("least_hash").agg(F.min(F.struct("id", "line", *facts)).alias("to"), F.count("*").alias("many")).where("many > 1")
+    tried = starred.select("least_hash", "id", "line", *[F.col(c).alias(f"a_{c}") for c in facts]).join(centres.select("least_hash", F.col("to.id").alias("to_id"), F.col("to.line").alias("to_line"), *[F.col(f"to.{c}").alias(f"b_{c}") for c in facts]), "least_hash")
+    # (only likely pairs: what the star leaves out the join finds)
+    likely = (F.col("a_level") == F.col("b_level")) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= LIKELY) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    tried = tried.where((F.struct("to_id", "to_line") < place) & likely).select("id", "line", "to_id", "to_line")
+    star = _confirmed(materialize(tried, "tried"), table, percent)
+    settled = materialize(equal.union(star).distinct(), "settled")
+
+    # four numbers an entry: word and place in the prefix, document, line and size, bitmap
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = one.join(star.withColumn("settled", F.lit(True)), ["id", "line"], "left")
-    rows = todo.select("id", "line", "n", F.coalesce("settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).repartition(n, "token")
-    # the first side reads the same shuffle as the second, so settled lines are left out after it
-    probe = rows.where(~F.col("settled") & (F.rand(1) >= 0)).select("token", "id", "line", F.col("n").alias("n1"), F.col("at").alias("at1"))
-    known = rows.select("token", F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    both = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + F.least("at1", "at2")
-    fits = (F.struct("to_id", "to_line") < F.struct("id", "line")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((100 + percent) * both >= percent * (F.col("n1") + F.col("n2")))
-    pairs = probe.join(known, "token").where(fits).select("id", "line", "to_id", "to_line").distinct()
-    return equal.union(star).union(_confirmed(pairs, dealt, percent))
+    todo = one.join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
+    state = (F.col("level") * 2 + F.coalesce("settled", F.lit(0))).cast("bigint")
+    rows = todo.select("id", (F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("n")).alias("line_n"), "bits", state.alias("state"), F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("id", "line_n", "bits", (F.shiftleft(F.col("token").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 8) + F.col("state")).alias("entry"))
+    token = F.shiftright("entry", 32)
+    rows = rows.repartition(n, token)
+
+    def side(p: str) -> list[Column]:
+        low = F.col("entry").bitwiseAND(F.lit(0xFFFFFFFF))
+        return [token.alias("token"), F.col("id").alias(f"{p}id"), F.shiftright("line_n", 32).cast("int").alias(f"{p}line"), F.col("line_n").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{p}n"), F.shiftright(low, 8).alias(f"{p}at"), F.shiftright(low.bitwiseAND(F.lit(0xFF)), 1).alias(f"{p}level"), F.col("bits").alias(f"{p}bits")]
+
+    # both sides read one shuffle: settled lines are left out after it
+    probe = rows.where((F.col("entry").bitwiseAND(F.lit(1)) == 0) & (F.rand(1) >= 0)).select(*side("a_"))
+    known = rows.where(F.rand(1) >= 0).select(*side("b_"))
+    both = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at")
+    fits = (F.struct("b_id", "b_line") < F.struct("a_id", "a_line")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * both >= percent * (F.col("a_n") + F.col("b_n")))
+    pairs = probe.join(known, "token").where(fits & _can_share("a_", "b_", percent)).select(F.col("a_id").alias("id"), F.col("a_line").alias("line"), F.col("b_id").alias("to_id"), F.col("b_line").alias("to_line")).distinct()
+    return settled.union(_confirmed(materialize(pairs, "pairs"), table, percent))
 
 
 def _columns(c: str) -> Column:
@@ -186,11 +217,10 @@ def _columns(c: str) -> Column:
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less the removed lines, and __n_lines, __n_removed and __emptied
     (nothing but white space is left of a text that had more)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt = plain.repartition(n, "id")
-    gone = repeated_lines(plain, dealt, percent, least).groupBy("id").agg(F.collect_set("line").alias("lines"))
     kept = [c for c in docs.columns if c != text]
+    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    table = bucketed(docs.select(*[_columns(c).alias(f"c{i}") for i, c in enumerate(kept)], _columns(text).cast("string").alias("__text"), F.col(key).cast("bigint").alias("id")), "id", "lines")
+    gone = repeated_lines(plain, table, percent, least).groupBy("id").agg(F.collect_set("line").alias("lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE):
@@ -204,12 +234,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, key
                 texts.append(t if not at else "\n".join(out))
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(emptied, pa.bool_())], names=[*batch.schema.names[2:], "__text", "__n_lines", "__n_removed", "__emptied"])
 
-    # a table of ids and texts alone reads the shuffle that the join made
-    if kept == [key] and docs.schema[key].dataType.simpleString() == "bigint":
-        rows = dealt.join(gone, "id", "left").select(F.col("text").alias("__text"), "lines", F.col("id").alias("c0"))
-    else:
-        numbered = docs.select(*[_columns(c).alias(f"c{i}") for i, c in enumerate(kept)], _columns(text).cast("string").alias("__text"), F.col(key).cast("bigint").alias("id"))
-        rows = numbered.join(gone, "id", "left").select("__text", "lines", *[f"c{i}" for i in range(len(kept))])
+    rows = table.join(gone, "id", "left").select("__text", "lines", *[f"c{i}" for i in range(len(kept))])
     fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
     out = rows.mapInArrow(cut, f"{fields}, __text string, __n_lines bigint, __n_removed bigint, __emptied boolean")
     out = out.toDF(*kept, text, "__n_lines", "__n_removed", "__emptied")
