@@ -9,7 +9,7 @@
 4. Candidates are confirmed on the full sets, recomputed from the texts. First each document
    is tried with the centre it shares most buckets with; then only stars between different
    components; then, as members of a bucket may be alike without being like its centre, pairs
-   of different components within buckets, each pair in the first bucket it shares. Buckets with more than ``PAIRS_UP_TO`` members are
+   of different components within buckets, each pair in one of the buckets that are joined. Buckets with more than ``PAIRS_UP_TO`` members are
    first split by every other band of the members, which alike texts share almost surely.
 5. Components follow by pointer jumping and, on what few links are left between them, by
    large-star / small-star rounds.
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from tactigrid.llm.common import bucketed, materialize, slices, strings
 from tactigrid.llm.textkit import FOLD, NOT_SPACE, mix, pair, words
-from tactigrid.llm.winnow import let
 
 BINS, BANDS = 128, 32
 PAIRS_UP_TO = 48
@@ -96,11 +95,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _shared_bands(a: str, b: str) -> Column:
-    """The bands in which two rows of short band keys agree, ascending."""
-    return F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.get(F.col(a), i) == F.get(F.col(b), i))
-
-
 def _sketch(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -224,23 +218,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key", "members")
     mixed = materialize(of.join(mixed, "key"), "mixed")
     split = mixed.where(f"members > {PAIRS_UP_TO}")
-    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "root", "key", "band")
+    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "root", "key")
     if not split.isEmpty():
         finer = split.join(single.select("id", "bands"), "id").select("id", "n", "root", "key", "band", F.posexplode("bands").alias("next", "other")).where("next > band")
-        # a pair of bands, the lower one first
-        finer = materialize(finer.select("id", "n", "root", F.xxhash64("key", "other").alias("key"), (BANDS * (F.col("band") + 1) + F.col("next")).alias("band")), "finer")
+        finer = materialize(finer.select("id", "n", "root", F.xxhash64("key", "other").alias("key")), "finer")
         sizes = finer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("lo <> hi")
-        parts = parts.union(finer.join(sizes.where(f"members <= {PAIRS_UP_TO}").select("key"), "key").select("id", "n", "root", "key", "band"))
+        parts = parts.union(finer.join(sizes.where(f"members <= {PAIRS_UP_TO}").select("key"), "key").select("id", "n", "root", "key"))
         # what still is larger shares two bands: stars with both ends as centres
         huge = finer.join(sizes.where(f"members > {PAIRS_UP_TO}"), "key").select("id", F.explode(F.array("least", "most")).alias("b")).where("id <> b")
         extra = near(across(huge.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()))
     else:
         extra = None
-    parts = parts.join(single.select("id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")), "id")
-    one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("short").alias("sa"), "key", "band")
-    two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("short").alias("sb"), "key")
-    # a pair that shares many buckets is taken in the first of them (or the first two bands) only
-    first = let(_shared_bands("sa", "sb"), lambda s: F.when(F.col("band") < BANDS, F.get(s, F.lit(0)) == F.col("band")).otherwise(BANDS * (F.get(s, F.lit(0)) + 1) + F.get(s, F.lit(1)) == F.col("band")))
+    # a pair that shares many of these buckets is taken in the one of the least key only
+    parts = parts.join(parts.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("keys").alias("ka"), "key")
+    two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("keys").alias("kb"), "key")
+    first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     fits = F.expr(f"a > b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & first
     pairs = one.join(two, "key").where(fits).select("a", "b").distinct()
     pairs = (pairs.union(extra).distinct() if extra is not None else pairs).join(tried, ["a", "b"], "left_anti").join(todo, ["a", "b"], "left_anti")
