@@ -9,8 +9,9 @@
 4. Candidates are confirmed on the full sets, recomputed from the texts. First each document
    is tried with the centre it shares most buckets with; then only stars between different
    components; then, as members of a bucket may be alike without being like its centre, pairs
-   of different components within buckets, each pair in one of the buckets that are joined. Buckets with more than ``PAIRS_UP_TO`` members are
-   first split by every other band of the members, which alike texts share almost surely.
+   of different components within buckets, each pair in one of the buckets it shares. Members of
+   buckets with more than ``PAIRS_UP_TO`` are tried with one another in blocks of ``BLOCK``, which
+   give no more links than unite their components.
 5. Components follow by pointer jumping and, on what few links are left between them, by
    large-star / small-star rounds.
 
@@ -39,6 +40,8 @@ from tactigrid.llm.textkit import FOLD, NOT_SPACE, mix, pair, words
 BINS, BANDS = 128, 32
 PAIRS_UP_TO = 48
 CHUNK = 1000
+#: Members of a block of a crowd, and words' columns multiplied at a time.
+BLOCK, COLUMNS = 256, 4096
 
 #: For each bin the others in an order of its own; fixed by the generator's seed.
 _RANK = np.argsort(np.argsort(np.random.default_rng(20240607).random((BINS, BINS)), axis=1), axis=1).astype(np.uint8)
@@ -169,6 +172,79 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _links(texts: pa.StringArray, roots: np.ndarray, side: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows whose sets have the similarity, of all on side 0 with all on side 1 (or, if
+    there is none, of all with all): as many as unite the same ``roots`` as all such pairs do."""
+    parts = [shingle_sets(strings(b.column(0)), width) for b in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")]
+    value, n = np.concatenate([s for s, _ in parts]), np.concatenate([k for _, k in parts])
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    column = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+    often = np.bincount(column)[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if side.any() else 0))
+    shared = np.zeros((len(one), len(two)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(n), COLUMNS), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        shared += (has[one] @ has[two].T).astype(np.int64)
+    fine = (100 * shared >= percent * (n[one][:, None] + n[two][None, :] - shared)) & (roots[one][:, None] != roots[two][None, :])
+    x, y = np.nonzero(fine)
+    x, y = one[x], two[y]
+    first = np.unique(np.stack([roots[x], roots[y]]), axis=1, return_index=True)[1]
+    top = list(range(int(roots.max()) + 1))
+
+    def up(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    out = []
+    for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        p, q = up(int(roots[a])), up(int(roots[b]))
+        if p != q:
+            top[p] = q
+            out.append((a, b))
+    return out
+
+
+def _crowds(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, enough to unite all that links between members of the
+    ``large`` buckets (id, key, root) unite.
+
+    Buckets with members in common make one crowd. It is cut into blocks of about ``BLOCK``
+    members, those of a large component into blocks of their own, and all pairs of blocks are
+    tried on full sets, but not two of the same component."""
+
+    def tried(block: pa.Table) -> pa.Table:
+        ids = block.column("id").combine_chunks()
+        roots = np.unique(np.array(block.column("root").to_pylist()), return_inverse=True)[1]
+        found = _links(strings(block.column("text")), roots, block.column("side").to_numpy(), width, percent)
+        a, b = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    kind = large.schema["id"].dataType.simpleString()
+    ends = large.groupBy("key").agg(F.min("id").alias("b"))
+    crowd = connected(large.join(ends, "key").select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "crowd")
+    members = large.select("id", "root").distinct().join(crowd, "id", "left").select("id", "root", F.coalesce("crowd", "id").alias("crowd"))
+    members = materialize(members, "crowds")
+    sizes = members.groupBy("crowd", "root").agg(F.count("*").alias("size"))
+    rest = sizes.where(f"size < {BLOCK}").groupBy("crowd").agg(F.sum("size").alias("rest"))
+    cut = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).cast("string")
+    own = F.col("size") >= BLOCK
+    blocks = members.join(sizes, ["crowd", "root"]).join(rest, "crowd", "left").select("crowd", "id", "root", F.when(own, F.col("root")).alias("whole"), F.when(own, F.concat(F.lit("own "), F.col("root").cast("string"), F.lit(" "), cut("size"))).otherwise(F.concat(F.lit("rest "), cut("rest"))).alias("block"))
+    blocks = materialize(blocks, "blocks")
+    names = blocks.select("crowd", "block", "whole").distinct()
+    one, two = names.select("crowd", F.col("block").alias("one"), F.col("whole").alias("wa")), names.select("crowd", F.col("block").alias("two"), F.col("whole").alias("wb"))
+    meet = one.join(two, "crowd").where("one <= two and (wa <> wb or wa is null or wb is null)").select("crowd", "one", "two")
+    sides = F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("one").alias("block"), F.lit(0).alias("side")), F.struct(F.col("two").alias("block"), F.lit(1).alias("side"))))
+    meet = meet.select("crowd", "one", "two", F.explode(sides).alias("s")).select("crowd", "one", "two", "s.*")
+    rows = meet.join(blocks.select("crowd", "block", "id", "root"), ["crowd", "block"]).select("crowd", "one", "two", "side", "id", "root")
+    return rows.join(texts, "id").groupBy("crowd", "one", "two").applyInArrow(tried, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id and kept (the smallest id of its component) of every row."""
     sketch = materialize(_sketch(docs, width, key, text), "sketch")
@@ -217,26 +293,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     of = rows.join(roots, "id", "left").select("id", "n", "band", "key", F.coalesce("root", "id").alias("root"))
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key", "members")
     mixed = materialize(of.join(mixed, "key"), "mixed")
-    split = mixed.where(f"members > {PAIRS_UP_TO}")
-    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "root", "key")
-    if not split.isEmpty():
-        finer = split.join(single.select("id", "bands"), "id").select("id", "n", "root", "key", "band", F.posexplode("bands").alias("next", "other")).where("next > band")
-        finer = materialize(finer.select("id", "n", "root", F.xxhash64("key", "other").alias("key")), "finer")
-        sizes = finer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("lo <> hi")
-        parts = parts.union(finer.join(sizes.where(f"members <= {PAIRS_UP_TO}").select("key"), "key").select("id", "n", "root", "key"))
-        # what still is larger shares two bands: stars with both ends as centres
-        huge = finer.join(sizes.where(f"members > {PAIRS_UP_TO}"), "key").select("id", F.explode(F.array("least", "most")).alias("b")).where("id <> b")
-        extra = near(across(huge.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()))
-    else:
-        extra = None
+    large = mixed.where(f"members > {PAIRS_UP_TO}")
+    if not large.isEmpty():
+        found = materialize(_crowds(large, texts, width, percent), "confirmed")
+        if not found.isEmpty():
+            roots = merged(found)
+    parts = mixed.where(f"members <= {PAIRS_UP_TO}").select("id", "n", "key").join(roots, "id", "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
     # a pair that shares many of these buckets is taken in the one of the least key only
     parts = parts.join(parts.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("keys").alias("ka"), "key")
     two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("keys").alias("kb"), "key")
     first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     fits = F.expr(f"a > b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & first
-    pairs = one.join(two, "key").where(fits).select("a", "b").distinct()
-    pairs = (pairs.union(extra).distinct() if extra is not None else pairs).join(tried, ["a", "b"], "left_anti").join(todo, ["a", "b"], "left_anti")
+    pairs = one.join(two, "key").where(fits).select("a", "b")
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(todo, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "pairs")
     if not pairs.isEmpty():
         found = materialize(_confirm(pairs, texts, width, percent), "confirmed")

@@ -43,3 +43,26 @@ def test_links_in_small_buckets_are_found(spark, monkeypatch):
     meet = {p for own in buckets.values() if len(own) <= 28 for p in combinations(sorted(own), 2)} & true
     got = components(spark, rows)
     assert meet and not [p for p in meet if got[p[0]] != got[p[1]]]
+
+
+def test_large_groups_of_near_copies(spark):
+    rows = near_copies(2, 300)
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links(rows):
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    assert components(spark, rows) == {i: top(i) for i in root}
+
+
+def test_blocks_cover_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS_UP_TO", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rows = near_copies(8, 60)
+    got = components(spark, rows)
+    assert all(got[a] == got[b] for a, b in links(rows))
