@@ -15,7 +15,8 @@ similarity of at least ``percent`` / 100.
    (what can still be shared after the place of the common word) and a bitmap of the words,
    and the pairs left are confirmed on the words of both lines.
 
-Lines of fewer than ``least`` different words are left alone.
+Lines of fewer than ``least`` different words are left alone; with 1, as the registered query
+and the pipeline have it, none are.
 
 Before any text is fetched, bitmaps of the words turn down pairs that cannot share enough.
 Texts are shuffled by id once, into a bucketed table that the later uses read.
@@ -243,5 +244,5 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, key
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, least=1)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import defaultdict
 from itertools import combinations
 
 import pyarrow as pa
 
-from tactigrid.llm import minhash
+from tactigrid.llm import linejoin, minhash
 
 
 def near_copies(seed: int, n: int, edits: int = 7, length: int = 200) -> list[tuple[int, str]]:
@@ -66,3 +67,27 @@ def test_blocks_cover_all_pairs(spark, monkeypatch):
     rows = near_copies(8, 60)
     got = components(spark, rows)
     assert all(got[a] == got[b] for a, b in links(rows))
+
+
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    lines = ["Les.", "Read more", "read more", "more Read", "one two three", "three two one", "a b c d", "a b c d e", "", " "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(4)) + f"\nown{i}") for i in range(40)] + [(40, "Les."), (41, None), (42, " ")]
+    earlier: list[set] = []
+    want = {}
+    for i, t in rows:
+        keep = []
+        for line in (t or "").split("\n"):
+            s = set(line.split())
+            if not any(s and 100 * len(s & o) >= 80 * len(s | o) for o in earlier):
+                keep.append(line)
+            earlier.append(s)
+        want[i] = "\n".join(keep)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.kept_sha256 for r in linejoin.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    stage = {r.doc_id: r.text or "" for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert stage == {i: t for i, t in want.items() if t.strip() or not (dict(rows)[i] or "").strip()}
