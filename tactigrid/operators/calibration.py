@@ -75,6 +75,8 @@ def robust_homography(image: np.ndarray, pitch: np.ndarray, tolerance: float = 8
             h = fit_homography(image[pick], pitch[pick])
             if h is not None and (now := inside(h)).sum() > best.sum():
                 best = now
+            if best.all():  # no set is larger
+                break
     return (fit_homography(image[best], pitch[best]) if best.sum() >= 4 else None), best
 
 
