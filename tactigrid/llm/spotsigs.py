@@ -3,8 +3,8 @@
 A spot is a chain of ``CHAIN`` content words that follow a run of common words (the anchor);
 common words inside the chain are passed over. A text's fingerprint is the set of the 32-bit
 hashes of its spots. Sets are compared by Jaccard likeness; in the search for near pairs they
-are partitioned by length and indexed by their rarest members, so that only pairs that can
-reach the threshold meet.
+are indexed by their rarest members and, where they meet, filtered by length and position. The
+index isn't partitioned by length.
 
 Edge cases: a text without an anchor has one spot, its words; one without words (null, empty,
 punctuation) has none and the empty fingerprint. Two empty sets have likeness 1, an empty and
@@ -84,17 +84,20 @@ def likeness(a: Column, b: Column) -> Column:
 def near_pairs(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (a, b, likeness) of different fingerprints at least ``least`` alike, each named by
     its smallest id, which stands for all texts with that fingerprint."""
+    # in whole millionths: doubles lose pairs that are just at the threshold
+    million = 1_000_000
+    part = round(least * million)
     sets = docs.select(F.col(key).alias("id"), spots(F.col(text)).alias("s")).where(F.size("s") > 0).groupBy("s").agg(F.min("id").alias("id"))
     rare = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ranked = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h")).join(rare, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
-    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1
+    prefix = F.col("n") - F.floor((F.col("n").cast("bigint") * part + million - 1) / million) + 1
     index = ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= prefix)
     one = index.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     two = index.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     # length, then position: what can still be shared after this member must be enough
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (rest * (1 + least) >= least * (F.col("na") + F.col("nb")))
+    fits = (F.col("a") < F.col("b")) & (million * F.least("na", "nb").cast("bigint") >= part * F.greatest("na", "nb")) & (rest.cast("bigint") * (million + part) >= part * (F.col("na") + F.col("nb")))
     pairs = one.join(two, "h").where(fits).select("a", "b").distinct()
     full = sets.select("id", "s")
     found = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

@@ -9,7 +9,7 @@ from itertools import combinations
 
 import pyarrow as pa
 
-from tactigrid.llm import linejoin, minhash
+from tactigrid.llm import linejoin, minhash, spotsigs
 
 
 def near_copies(seed: int, n: int, edits: int = 7, length: int = 200) -> list[tuple[int, str]]:
@@ -91,3 +91,9 @@ def test_short_lines_are_deduplicated(spark, tmp_path):
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
     stage = {r.doc_id: r.text or "" for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert stage == {i: t for i, t in want.items() if t.strip() or not (dict(rows)[i] or "").strip()}
+
+
+def test_near_pairs_at_the_threshold(spark):
+    text = lambda k: " ".join(f"the w{i} v{i}" for i in range(k))
+    d = spark.createDataFrame([(1, text(28)), (2, text(35))], "doc_id bigint, text string")
+    assert [(r.a, r.b, r.likeness) for r in spotsigs.near_pairs(d).collect()] == [(1, 2, 0.8)]
