@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import materialize
+from tactigrid.llm.common import column, free, fresh, materialize
 from tactigrid.llm.linejoin import dedup_lines
 from tactigrid.llm.minhash import near_duplicates
 from tactigrid.llm.packing import pack
@@ -27,10 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier line is like; documents of which nothing is left go."""
-    out = dedup_lines(docs, least=1).where(~F.col("__emptied"))
+    out = dedup_lines(docs)
+    out = out.where(~column(fresh(docs.columns, "emptied")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done = materialize(stage(spark, docs, sf_dir), name)
+        free(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

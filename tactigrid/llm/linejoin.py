@@ -5,135 +5,381 @@ A line (of a text cut at line feeds) is the set of its words. It is removed if a
 similarity of at least ``percent`` / 100.
 
 1. Word counts over all texts go to ``BUCKETS`` counters, a table of fixed size that every
-   worker gets; words in order of (counter, hash) are words by rarity.
-2. Lines with equal sets are settled by a digest of the set; the first one stands for all.
+   worker gets; words in order of (counter's level, hash) are words by rarity.
+2. Of lines with equal sets in one task only the first goes on; the others are settled.
 3. A line that reaches the similarity shares one of its first ``n - ceil(p n) + 1`` words (its
-   prefix). First each line is tried with one line only, the earliest with the same least word
-   hash: a star, which settles most members of large groups of near copies. Settled lines don't
-   probe any more, so that the join that follows doesn't meet all pairs of such a group.
-4. The others probe the prefixes of all lines, under the length filter, the positional filter
-   (what can still be shared after the place of the common word) and a bitmap of the words,
-   and the pairs left are confirmed on the words of both lines.
+   prefix). Each line goes, with its size and two bitmaps of its words, once to each part of
+   the words' space that one of these falls into, packed with others.
+4. In a part, lines with equal sets are settled by a digest. Lines that share a prefix word and
+   pass the length filter, the positional filter (what can still be shared after the place of
+   the common word) and the bitmaps are candidates. A line of which few lines share a word is
+   held against all of them; where more than ``WIDE`` do, against those next in size and place.
+5. Candidates are confirmed on the words of both lines, for each line the most likely one
+   first, and the others only if that one fails. Lines that are not settled then, and haven't
+   met all lines they share a word with, are held against all of these in a second run.
+
+Lines of fewer than ``least`` different words are left alone; with 1, the default, none are.
+Words are compared by 46-bit numbers until the confirmation: of a line of 44 words about one
+in 10**10 has two that are taken for one. A group of lines that share a rare word is held in
+one task (36 bytes a line), whose work grows with the group, and in the second run with the
+group times those of its lines that nothing has settled.
 
-Lines of fewer than ``least`` different words are left alone; with 1, as the registered query
-and the pipeline have it, none are.
-
-Before any text is fetched, bitmaps of the words turn down pairs that cannot share enough.
 Texts are shuffled by id once, into a bucketed table that the later uses read.
 
 Edge cases: null texts stay null, and blank lines stay; equal lines in one document count too;
-ids are integers, and rows with the same id are one document (rows repeated as a whole give
-equal results); an empty table gives an empty result. Other columns stay as they are.
+ids are of any kind that has an order; rows with the same id are one document (rows repeated as
+a whole give equal results); a row with a null id is left as it is, and its lines count for
+nothing; an empty table gives an empty result. Other columns stay as they are, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import bucketed, materialize, slices, strings
+from tactigrid.llm.common import bucketed, column, free, fresh, materialize, numbered, slices, strings
 from tactigrid.llm.textkit import NOT_SPACE, Words, mix, words
+from tactigrid.llm.winnow import let
 
-PERCENT, LEAST = 80, 3
+PERCENT, LEAST = 80, 1
 BUCKETS = 1 << 18
-#: Lines of up to so many words have all of them in their bitmap, those of twice as many half of them, ...
-DENSE = 80
-#: Two lines whose bitmaps differ in up to so many bits are worth a try before the join.
-LIKELY = 14
+#: Lines that share a word of which a line is tried with so many at first.
+WIDE = 1024
+#: Candidates of a part at first, for each of its entries; beyond that, so many for each line.
+ROOM, BEST = 8, 8
+CHUNK = 1000
 SLICE = 4 << 20
+HASH, LINE = np.uint64(39), np.uint64(46)
+ONE = np.uint64(1)
+
+CANDIDATE, SETTLED, MORE = 0, 1, 2
+PACKED = "part int, size bigint, payload binary"
+FOUND = "id bigint, line int, to_id bigint, to_line int, far int, kind int"
+
+
+def line_of(found: Words, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its line, counted over the batch, and for each row its first line."""
+    ends = np.flatnonzero(found.raw == 10)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets -= offsets[0]
+    # a line ends at each line feed and at the end of each text
+    places = np.sort(np.concatenate([ends, offsets[1:]]), kind="stable")
+    per = np.diff(np.searchsorted(found.starts, places), prepend=0)
+    return np.repeat(np.arange(len(per)), per), np.searchsorted(ends, offsets[:-1]) + np.arange(len(texts))
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """How often words fall into each of ``BUCKETS`` counters, over all texts."""
+def _levels(docs: DataFrame) -> np.ndarray:
+    """How often words fall into each of ``BUCKETS`` counters, over all texts, as levels (three
+    to a doubling), ready to stand above the hash of a word."""
+    own = BUCKETS // 64
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in slices(batches, "text", SLICE):
             h = words(strings(batch.column(1)), NOT_SPACE).hashes()
             total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+        yield _rows(total)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + x.values.to_numpy()
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, own], pa.int32()), pa.array(x))], names=["k", "n"])
 
-    rows = docs.mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # at most BUCKETS rows
+    def _rows(total: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.arange(0, BUCKETS + 1, own, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(total))], names=["k", "n"])
+
+    got = docs.mapInArrow(counted, "k int, n array<bigint>").repartition(64, "k").mapInArrow(summed, "k int, n array<bigint>").toArrow()  # 64 rows
     out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    for k, x in zip(got["k"].to_pylist(), got["n"].to_pylist(), strict=True):
+        out[k * own : (k + 1) * own] = x
+    return np.minimum(127, 3 * np.log2(1 + out)).astype(np.uint64) << HASH
 
 
-def line_of(found: Words, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its line, counted over the batch, and for each row its first line."""
-    ends = np.flatnonzero(found.raw == 10)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    offsets -= offsets[0]
-    rows = np.arange(len(texts))
-    return np.searchsorted(ends, found.starts) + found.rows, np.searchsorted(ends, offsets[:-1]) + rows
+def _packed(part: int, arrays: list[np.ndarray]) -> tuple[int, int, bytes]:
+    raw = np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    return part, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(size: int, payload: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = pa.decompress(payload, size, codec="zstd", asbytes=True)
+    lengths = np.frombuffer(raw, np.int64, len(kinds))
+    out, at = [], 8 * len(kinds)
+    for kind, n in zip(kinds, lengths.tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
-def _lines(docs: DataFrame, counts: np.ndarray, percent: int, least: int) -> DataFrame:
-    """(id, line, n, low, high, again, prefix) of every line of at least ``least`` words; of equal
-    sets in a batch only the first has a prefix, the others are known to come again."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+#: Of each line: document, line, size, digest, bitmaps, how many entries follow for it; of each entry: word, place.
+SETS = (np.int64, np.int32, np.int32, np.uint64, np.uint64, np.uint64, np.int32, np.uint32, np.int32)
+PLACES = (np.int64, np.int32)
+
+
+def _send(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, size, payload = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(payload, pa.binary())], names=["part", "size", "payload"])
+
+
+def _sets(found: Words, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, its first word in token, its size, token) of the sets of words, rarest first."""
+    h = found.hashes()
+    token = levels[(h % np.uint64(BUCKETS)).astype(np.int64)] | (mix(h) >> (np.uint64(64) - HASH))
+    own = np.cumsum(np.diff(line, prepend=line[:1]) != 0)  # lines that have words, from 0
+    out, rows = [], []
+    for to in range(0, int(own[-1]) + 1, 1 << 18):
+        lo, hi = np.searchsorted(own, [to, to + (1 << 18)])
+        key = np.sort(token[lo:hi] | ((own[lo:hi] - to).astype(np.uint64) << LINE))
+        new = np.ones(hi - lo, bool)
+        new[1:] = key[1:] != key[:-1]
+        out.append(key[new] & ((ONE << LINE) - ONE))
+        rows.append(own[lo:hi][new])
+    token, row = np.concatenate(out), np.concatenate(rows)
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    return line[np.flatnonzero(np.diff(own, prepend=-1))], begin, np.diff(begin, append=len(row)), token
+
+
+class _Seen:
+    """The first place of each digest in this task, so far."""
+
+    def __init__(self) -> None:
+        self.digest, self.doc, self.line = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def first(self, digest: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the new places are the first of their digest, and which are later than one."""
+        old = len(self.digest)
+        all_digest = np.concatenate([self.digest, digest])
+        all_doc, all_line = np.concatenate([self.doc, doc]), np.concatenate([self.line, line])
+        new = np.arange(len(all_digest)) >= old  # of equal places the known one comes first
+        order = np.lexsort((new, all_line, all_doc, all_digest))
+        d, i, k = all_digest[order], all_doc[order], all_line[order]
+        lead = np.ones(len(order), bool)
+        lead[1:] = d[1:] != d[:-1]
+        begin = np.flatnonzero(lead)
+        size = np.diff(begin, append=len(order))
+        later = (i != np.repeat(i[begin], size)) | (k != np.repeat(k[begin], size))
+        self.digest, self.doc, self.line = d[begin], i[begin], k[begin]
+        firsts, laters = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        firsts[order], laters[order] = lead, later
+        return firsts[old:], laters[old:]
+
+
+def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: int) -> DataFrame:
+    """Packed rows of ``n`` parts: lines with their prefix words, and (size below 0) settled places."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shared.value
+        seen = _Seen()
         for batch in slices(batches, "text", SLICE):
             texts = strings(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy()
             found = words(texts, NOT_SPACE)
-            h = found.hashes()
-            if not len(h):
+            if not len(found.rows):
                 continue
             line, first_line = line_of(found, texts)
-            # rarity above, hash below: one number to sort by
-            often = np.minimum(rarity[(h % np.uint64(BUCKETS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
-            rank = (often << np.uint64(44)) | (mix(h) >> np.uint64(20))
-            order = np.lexsort((rank, line))
-            line, rank, row = line[order], rank[order], found.rows[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
-            line, rank, row = line[new], rank[new], row[new]
-            begin = np.flatnonzero(np.diff(line, prepend=-1))
-            n = np.diff(begin, append=len(line))
-            level = np.ceil(np.log2(np.maximum(n / DENSE, 1))).astype(np.uint64)
-            bit = mix(rank + np.uint64(7))
-            kept = (bit >> np.uint64(40)) & ((np.uint64(1) << np.repeat(level, n)) - np.uint64(1)) == 0
-            one = np.where(kept, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-            bits = np.bitwise_or.reduceat(one, begin).view(np.int64)
-            least_hash = np.minimum.reduceat(bit, begin).view(np.int64)
-            low, high = np.add.reduceat(mix(rank), begin), np.add.reduceat(mix(rank ^ np.uint64(0x5555555555555555)), begin)
-            fine = n >= least
-            begin, n, low, high, level, bits, least_hash = (x[fine] for x in (begin, n, low, high, level, bits, least_hash))
-            doc, at = ids[row[begin]], (line[begin] - first_line[row[begin]]).astype(np.int32)
-            order = np.lexsort((at, doc, high, low))
-            again = np.zeros(len(order), bool)
-            if len(order):
-                again[order[1:]] = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
-            # (a set so small that one word more is too many is only like itself)
-            long = np.where(again | (100 * n < percent * (n + 1)), 0, n - (n * percent + 99) // 100 + 1)
+            line, begin, size, token = _sets(found, line, shared.value)
+            row = np.searchsorted(first_line, line, side="right") - 1
+            doc, at = ids[row], (line - first_line[row]).astype(np.int32)
+            digest = np.add.reduceat(mix(token), begin)
+            some = size >= least
+            firsts, laters = np.zeros(len(size), bool), np.zeros(len(size), bool)
+            firsts[some], laters[some] = seen.first(digest[some], doc[some], at[some])
+            out = []
+            if laters.any():
+                part, long, payload = _packed(int(digest[0] % np.uint64(n)), [doc[laters], at[laters]])
+                out.append((part, -long, payload))
+            bit = mix(token + np.uint64(7))
+            one = ONE << (bit & np.uint64(63))
+            side = (bit & np.uint64(64)) == 0
+            low, high = (np.bitwise_or.reduceat(np.where(x, one, np.uint64(0)), begin) for x in (side, ~side))
+            # (a set so small that one word more is too many is only like itself: one word will do)
+            long = np.where(firsts, np.where(100 * size < percent * (size + 1), 1, size - (size * percent + 99) // 100 + 1), 0)
             ends = np.cumsum(long)
-            pick = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - long, long) + np.repeat(begin, long)
-            token = (rank[pick] ^ (rank[pick] >> np.uint64(32))).astype(np.uint32).view(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(again), prefix, pa.array(level.astype(np.int32)), pa.array(bits), pa.array(least_hash)], names=["id", "line", "n", "low", "high", "again", "prefix", "level", "bits", "least_hash"])
-
-    return docs.mapInArrow(listed, "id bigint, line int, n int, low bigint, high bigint, again boolean, prefix array<int>, level int, bits bigint, least_hash bigint")
-
-
-def _can_share(a: str, b: str, percent: int) -> Column:
-    """Whether the bitmaps of two lines (columns n, level, bits after the prefixes) let them share
-    enough words. Exact: it never turns down a pair that reaches the similarity."""
-    c = lambda p, k: F.col(f"{p}{k}")
-    own = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits"))))
-    most = F.least(c(a, "n") - own(a, b), c(b, "n") - own(b, a))
-    return (c(a, "level") != c(b, "level")) | ((100 + percent) * most >= percent * (c(a, "n") + c(b, "n")))
-
-
-def _line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+            place = (np.arange(int(ends[-1])) - np.repeat(ends - long, long)).astype(np.int32)
+            entry = token[np.repeat(begin, long) + place]
+            entry = (mix(entry) >> np.uint64(32)).astype(np.uint32)
+            owner = np.repeat(np.arange(len(size)), long)
+            part = entry % np.uint32(n)
+            order = np.argsort(part, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)), len(order))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = order[lo:hi]
+                who = owner[own]
+                lead = np.flatnonzero(np.diff(who, prepend=-1))
+                s = who[lead]
+                out.append(_packed(int(part[own[0]]), [doc[s], at[s], size[s].astype(np.int32), digest[s], low[s], high[s], np.diff(lead, append=len(who)).astype(np.int32), entry[own], place[own]]))
+            if out:
+                yield _send(out)
+
+    return docs.mapInArrow(listed, PACKED)
+
+
+class _Lines:
+    """All lines of a part, and the entries of those that go on, by word and size."""
+
+    def __init__(self, parts: list[list[np.ndarray]]) -> None:
+        self.doc, self.line, self.size, digest, self.low, self.high, per, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner = np.repeat(np.arange(len(per)), per)
+        leads = np.zeros(len(per), bool)  # the part that has a line's first word speaks for it
+        leads[owner[place == 0]] = True
+        name = mix(digest ^ mix(self.low ^ mix(self.high + self.size.astype(np.uint64))))
+        order = np.argsort(name)
+        twin = np.zeros(len(order), bool)
+        twin[1:] = name[order[1:]] == name[order[:-1]]
+        twin[:-1] |= twin[1:]
+        some = order[twin]
+        some = some[np.lexsort((self.line[some], self.doc[some], name[some]))]
+        lead = np.ones(len(some), bool)
+        lead[1:] = name[some[1:]] != name[some[:-1]]
+        begin = np.flatnonzero(lead)
+        first = np.repeat(some[begin], np.diff(begin, append=len(some)))
+        later = (self.doc[some] != self.doc[first]) | (self.line[some] != self.line[first])
+        self.settled = some[later & leads[some]]
+        self.on = np.ones(len(per), bool)
+        self.on[some[~lead]] = False
+        fine = self.on[owner]
+        owner, token, place = owner[fine], token[fine], place[fine]
+        key = (token.astype(np.uint64) << np.uint64(32)) | self.size[owner].astype(np.uint64)
+        order = np.argsort(key)
+        self.key, self.owner, self.place = key[order], owner[order], place[order]
+
+    def upto(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry the first and the end of those with its word that the length filter lets pass."""
+        word, size = self.key & ~np.uint64(0xFFFFFFFF), self.size[self.owner]
+        lo = np.searchsorted(self.key, word | ((size * percent + 99) // 100).astype(np.uint64))
+        hi = np.searchsorted(self.key, word | np.minimum(size.astype(np.int64) * 100 // percent, 0xFFFFFFFF).astype(np.uint64), side="right")
+        return lo, hi
+
+    def tried(self, one: np.ndarray, two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier, far) of the pairs of entries that pass the positional filter and the bitmaps."""
+        a, b = self.owner[one], self.owner[two]
+        na, nb, pa_, pb = self.size[a], self.size[b], self.place[one], self.place[two]
+        fine = (100 + percent) * (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)) >= percent * (na + nb)
+        a, b, na, nb = a[fine], b[fine], na[fine], nb[fine]
+        x, y, u, v = self.low[a], self.low[b], self.high[a], self.high[b]
+        own_a = np.bitwise_count(x & ~y).astype(np.int32) + np.bitwise_count(u & ~v)
+        own_b = np.bitwise_count(y & ~x).astype(np.int32) + np.bitwise_count(v & ~u)
+        fine = (100 + percent) * np.minimum(na - own_a, nb - own_b) >= percent * (na + nb)
+        a, b, far = a[fine], b[fine], (own_a + own_b)[fine]
+        swap = (self.doc[a] < self.doc[b]) | ((self.doc[a] == self.doc[b]) & (self.line[a] < self.line[b]))
+        return np.where(swap, b, a), np.where(swap, a, b), far
+
+
+def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, room: int = 0, best: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, far) of the candidates among entries ``rows`` with those from ``lo`` to ``hi``,
+    each once, and the lines of which only the ``best`` are kept, as there are more than ``room``."""
+    many = hi - lo
+    ends = np.cumsum(many)
+    names, fars, cut = np.zeros(0, np.uint64), np.zeros(0, np.int32), [np.zeros(0, np.int64)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def reduced() -> None:
+        nonlocal names, fars
+        names = np.concatenate([names, *[h[0] for h in held]])
+        fars = np.concatenate([fars, *[h[1] for h in held]])
+        held.clear()
+        names, first = np.unique(names, return_index=True)  # (all of a pair are as far)
+        fars = fars[first]
+        if room and len(names) > room:
+            a = (names >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((fars, a))
+            begin = np.flatnonzero(np.diff(a[order], prepend=-1))
+            size = np.diff(begin, append=len(order))
+            nth = np.arange(len(order)) - np.repeat(begin, size)
+            cut.append(a[order][begin][size > best])
+            order = np.sort(order[nth < best])
+            names, fars = names[order], fars[order]
+
+    at, waiting = 0, 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+        size = many[at:to]
+        one = np.repeat(rows[at:to], size)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[at:to], size)
+        at = to
+        a, b, far = lines.tried(one, two, percent)
+        fine = a != b
+        if fine.any():
+            held.append(((a[fine].astype(np.uint64) << np.uint64(32)) | b[fine].astype(np.uint64), far[fine]))
+            waiting += int(fine.sum())
+        if waiting > 2_000_000:
+            reduced()
+            waiting = 0
+    reduced()
+    return (names >> np.uint64(32)).astype(np.int64), (names & np.uint64(0xFFFFFFFF)).astype(np.int64), fars, np.unique(np.concatenate(cut))
+
+
+def _found(lines: _Lines, a: np.ndarray, b: np.ndarray | None, far: np.ndarray | int, kind: int) -> pa.RecordBatch:
+    n = len(a)
+    to = (np.zeros(n, np.int64), np.full(n, far, np.int32)) if b is None else (lines.doc[b], lines.line[b])
+    cols = [lines.doc[a], lines.line[a], *to, np.full(n, far, np.int32) if np.isscalar(far) else far, np.full(n, kind, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "line", "to_id", "to_line", "far", "kind"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list, list, list, int]:
+    """Lines, settled places and probes of a part, and its number."""
+    sets, settled, probes, part = [], [], [], 0
+    for batch in batches:
+        for part, size, payload, *probe in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if payload is None:
+                probes.append(probe)
+            elif size < 0:
+                settled.append(_unpacked(-size, payload, PLACES))
+            else:
+                sets.append(_unpacked(size, payload, SETS))
+    return sets, settled, probes, part
+
+
+def _first_run(percent: int, wide: int, room: int, best: int) -> Callable:
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, settled, _, part = _read(batches)
+        for doc, line in settled:
+            zero = np.zeros(len(doc), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, line, zero.astype(np.int64), zero, zero, zero + SETTLED)], names=["id", "line", "to_id", "to_line", "far", "kind"])
+        if not sets:
+            return
+        lines = _Lines(sets)
+        if len(lines.settled):
+            yield _found(lines, lines.settled, None, 0, SETTLED)
+        i = np.arange(len(lines.key))
+        lo, hi = lines.upto(percent)
+        a, b, far, cut = _pairs(lines, i, np.maximum(lo, i - wide), i, percent, 1 + room * len(i), best)
+        if len(a):
+            yield _found(lines, a, b, far, CANDIDATE)
+        more = np.unique(np.concatenate([lines.owner[(i - lo > wide) | (hi - 1 - i > wide)], cut]))
+        if len(more):
+            yield _found(lines, more, None, part, MORE)
+
+    return tried
+
+
+def _second_run(percent: int) -> Callable:
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, _, probes, _ = _read(batches)
+        if not sets or not probes:
+            return
+        lines = _Lines(sets)
+        name = lambda doc, line: mix(doc.view(np.uint64) ^ mix(line.astype(np.uint64)))  # noqa: E731  (more than wanted do no harm)
+        wanted = np.isin(name(lines.doc, lines.line), name(np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int32)))
+        lo, hi = lines.upto(percent)
+        rows = np.flatnonzero(wanted[lines.owner])
+        a, b, far, _ = _pairs(lines, rows, lo[rows], hi[rows], percent)
+        fine = wanted[a]
+        if fine.any():
+            yield _found(lines, a[fine], b[fine], far[fine], CANDIDATE)
+
+    return tried
+
+
+def _line_texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, line, text) of the ``wanted`` (id, line)."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +388,14 @@ def _line_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for i, t, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = t.split("\n")
                 for k in at:
-                    out[0].append(i)
-                    out[1].append(k)
-                    out[2].append(own[k])
+                    if k < len(own):
+                        out[0].append(i)
+                        out[1].append(k)
+                        out[2].append(own[k])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["id", "line", "text"])
 
     per = wanted.groupBy("id").agg(F.collect_set("line").alias("lines"))
-    return texts.join(per, "id").select("id", F.col("__text").alias("text"), "lines").mapInArrow(picked, "id bigint, line int, text string")
+    return table.select("id", F.col("__text").alias("text")).join(per.hint("shuffle_hash"), "id").select("id", "text", "lines").mapInArrow(picked, "id bigint, line int, text string")
 
 
 def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -157,92 +404,86 @@ def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            fine = []
+            fine, known = [], {}
             for a, b in zip(one, two, strict=True):
-                x, y = set(a.encode().split()), set(b.encode().split())
+                x = set(a.encode().split())
+                y = known.get(b)
+                if y is None:
+                    known[b] = y = set(b.encode().split())
                 both = len(x & y)
                 fine.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["id", "line"]).filter(pa.array(fine, pa.bool_()))
 
-    wanted = pairs.select("id", "line").union(pairs.select("to_id", "to_line"))
-    texts = _line_texts(table, wanted)
-    to = texts.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.col("text").alias("to_text"))
-    rows = pairs.join(texts, ["id", "line"]).join(to, ["to_id", "to_line"]).select("id", "line", "text", "to_text")
-    return rows.mapInArrow(confirmed, "id bigint, line int").distinct()
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select("id", "line").union(pairs.select(F.col("to_id").alias("id"), F.col("to_line").alias("line")))
+    texts = materialize(_line_texts(table, wanted), "line-texts")
+    # a line that very many are held against is dealt out with as many copies as that takes
+    salts = F.ceil(F.count("*") / CHUNK).cast("int")
+    per = pairs.groupBy("to_id", "to_line").agg(salts.alias("salts"))
+    to = texts.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.col("text").alias("to_text")).join(per, ["to_id", "to_line"])
+    to = to.select("to_id", "to_line", "to_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = pairs.join(per, ["to_id", "to_line"]).withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.col("salts")).cast("int"))
+    rows = rows.join(texts, ["id", "line"]).join(to, ["to_id", "to_line", "salt"]).select("id", "line", "text", "to_text")
+    out = materialize(rows.mapInArrow(confirmed, "id bigint, line int").distinct(), "confirmed")
+    free(pairs, texts)
+    return out
 
 
-def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int, wide: int = WIDE, room: int = ROOM, best: int = BEST) -> DataFrame:
     """(id, line) of the lines to remove. ``docs`` are (id, text), ``table`` has (id, __text) by id."""
-    lines = materialize(_lines(docs, _counts(docs), percent, least), "lines")
-    place = F.struct("id", "line")
-    heads = lines.where("not again").groupBy("low", "high").agg(F.min(place).alias("first"))
-    equal = lines.select("id", "line", "low", "high").join(heads, ["low", "high"]).where(place > F.col("first")).select("id", "line")
-
-    one = lines.where("not again and size(prefix) > 0")
-    facts = ("n", "level", "bits")
-    starred = one.select("least_hash", "id", "line", *facts)
-    centres = starred.groupBy("least_hash").agg(F.min(F.struct("id", "line", *facts)).alias("to"), F.count("*").alias("many")).where("many > 1")
-    tried = starred.select("least_hash", "id", "line", *[F.col(c).alias(f"a_{c}") for c in facts]).join(centres.select("least_hash", F.col("to.id").alias("to_id"), F.col("to.line").alias("to_line"), *[F.col(f"to.{c}").alias(f"b_{c}") for c in facts]), "least_hash")
-    # (only likely pairs: what the star leaves out the join finds)
-    likely = (F.col("a_level") == F.col("b_level")) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= LIKELY) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    tried = tried.where((F.struct("to_id", "to_line") < place) & likely).select("id", "line", "to_id", "to_line")
-    star = _confirmed(materialize(tried, "tried"), table, percent)
-    settled = materialize(equal.union(star).distinct(), "settled")
-
-    # four numbers an entry: word and place in the prefix, document, line and size, bitmap
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = one.join(settled.withColumn("settled", F.lit(1)), ["id", "line"], "left")
-    state = (F.col("level") * 2 + F.coalesce("settled", F.lit(0))).cast("bigint")
-    rows = todo.select("id", (F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("n")).alias("line_n"), "bits", state.alias("state"), F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("id", "line_n", "bits", (F.shiftleft(F.col("token").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 8) + F.col("state")).alias("entry"))
-    token = F.shiftright("entry", 32)
-    rows = rows.repartition(n, token)
-
-    def side(p: str) -> list[Column]:
-        low = F.col("entry").bitwiseAND(F.lit(0xFFFFFFFF))
-        return [token.alias("token"), F.col("id").alias(f"{p}id"), F.shiftright("line_n", 32).cast("int").alias(f"{p}line"), F.col("line_n").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{p}n"), F.shiftright(low, 8).alias(f"{p}at"), F.shiftright(low.bitwiseAND(F.lit(0xFF)), 1).alias(f"{p}level"), F.col("bits").alias(f"{p}bits")]
-
-    # both sides read one shuffle: settled lines are left out after it
-    probe = rows.where((F.col("entry").bitwiseAND(F.lit(1)) == 0) & (F.rand(1) >= 0)).select(*side("a_"))
-    known = rows.where(F.rand(1) >= 0).select(*side("b_"))
-    both = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at")
-    fits = (F.struct("b_id", "b_line") < F.struct("a_id", "a_line")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * both >= percent * (F.col("a_n") + F.col("b_n")))
-    pairs = probe.join(known, "token").where(fits & _can_share("a_", "b_", percent)).select(F.col("a_id").alias("id"), F.col("a_line").alias("line"), F.col("b_id").alias("to_id"), F.col("b_line").alias("to_line")).distinct()
-    return settled.union(_confirmed(materialize(pairs, "pairs"), table, percent))
-
-
-def _columns(c: str) -> Column:
-    return F.col(f"`{c}`")
+    levels = _levels(docs)
+    entries = _entries(docs, levels, n, percent, least)
+    found = materialize(entries.repartitionById(n, "part").mapInArrow(_first_run(percent, wide, room, best), FOUND), "found")
+    place, other = ["id", "line"], ["to_id", "to_line"]
+    settled = [found.where(f"kind = {SETTLED}").select(*place)]
+    candidates = found.where(f"kind = {CANDIDATE}").select(*place, *other, "far")
+    likely = candidates.groupBy(*place).agg(F.min(F.struct("far", *other)).alias("b")).select(*place, "b.to_id", "b.to_line")
+    settled.append(_confirmed(likely, table, percent))
+    # the others, of lines that the likeliest one didn't settle
+    rest = candidates.select(*place, *other).distinct().join(settled[1], place, "left_anti").join(likely, [*place, *other], "left_anti")
+    settled.append(_confirmed(rest, table, percent))
+    probes = found.where(f"kind = {MORE}").select(F.col("to_line").alias("part"), *place)
+    probes = materialize(probes.join(settled[1], place, "left_anti").join(settled[2], place, "left_anti"), "probes")
+    if not probes.isEmpty():
+        none = F.lit(None)
+        rows = entries.select("*", none.cast("bigint").alias("id"), none.cast("int").alias("line"))
+        rows = rows.union(probes.select("part", F.lit(0).cast("bigint"), none.cast("binary"), *place))
+        again = rows.repartitionById(n, "part").mapInArrow(_second_run(percent), FOUND)
+        settled.append(_confirmed(again.select(*place, *other).distinct(), table, percent))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` less the removed lines, and __n_lines, __n_removed and __emptied
-    (nothing but white space is left of a text that had more)."""
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, key: str = "doc_id", text: str = "text", **first_run: int) -> DataFrame:
+    """``docs`` with ``text`` less the removed lines, and n_lines, n_removed and emptied (nothing
+    but white space is left of a text that had more); a name that ``docs`` has already gets
+    underscores after it until it is free."""
+    names = [fresh(docs.columns, c) for c in ("n_lines", "n_removed", "emptied")]
     kept = [c for c in docs.columns if c != text]
-    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    table = bucketed(docs.select(*[_columns(c).alias(f"c{i}") for i, c in enumerate(kept)], _columns(text).cast("string").alias("__text"), F.col(key).cast("bigint").alias("id")), "id", "lines")
-    gone = repeated_lines(plain, table, percent, least).groupBy("id").agg(F.collect_set("line").alias("lines"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SLICE):
-            texts, total, removed, emptied = [], [], [], []
-            for t, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = (t or "").split("\n")
-                out = [x for k, x in enumerate(own) if k not in at] if (at := set(at or ())) else own
-                total.append(len(own))
-                removed.append(len(own) - len(out))
-                emptied.append(bool(at) and not "".join(out).strip())
-                texts.append(t if not at else "\n".join(out))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(emptied, pa.bool_())], names=[*batch.schema.names[2:], "__text", "__n_lines", "__n_removed", "__emptied"])
-
-    rows = table.join(gone, "id", "left").select("__text", "lines", *[f"c{i}" for i in range(len(kept))])
-    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    out = rows.mapInArrow(cut, f"{fields}, __text string, __n_lines bigint, __n_removed bigint, __emptied boolean")
-    out = out.toDF(*kept, text, "__n_lines", "__n_removed", "__emptied")
-    return out.select(*[_columns(c) for c in docs.columns], "__n_lines", "__n_removed", "__emptied")
+    with_id = numbered(docs, key)
+    number = column(with_id.columns[-1])
+    with_id = with_id.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], column(text).cast("string").alias("__text"), number.alias("id"))
+    plain = with_id.where("id is not null").select("id", F.coalesce("__text", F.lit("")).alias("text"))
+    table = bucketed(with_id, "id", "lines")
+    gone = repeated_lines(plain, table, percent, least, **first_run).groupBy("id").agg(F.collect_set("line").alias("__lines"))
+    rows = table.join(gone.hint("shuffle_hash"), "id", "left")
+
+    def cut(own):
+        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.coalesce("__lines", F.array().cast("array<int>")))
+        return F.struct(F.size(own).alias("total"), F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")).alias("text"))
+
+    rows = rows.withColumn("__cut", let(F.split(F.coalesce("__text", F.lit("")), "\n"), cut))
+    removed = F.coalesce(F.size("__lines"), F.lit(0))
+    left = F.when(F.col("__text").isNull(), None).otherwise(F.col("__cut.text"))
+    emptied = F.coalesce(F.col("__lines").isNotNull() & ~F.col("__cut.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    at = {c: F.col(f"c{i}") for i, c in enumerate(kept)} | {text: left}
+    return rows.select(*[at[c].alias(c) for c in docs.columns], F.col("__cut.total").cast("bigint").alias(names[0]), F.greatest(removed, F.lit(0)).cast("bigint").alias(names[1]), emptied.alias(names[2]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, least=1)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -88,14 +88,16 @@ def words(texts: pa.StringArray, keep: np.ndarray = NOT_SPACE, fold: np.ndarray
     raw, offsets = buffer(texts)
     if fold is not None:
         raw = fold[raw]
-    inside = keep[raw]
-    before = np.zeros(len(raw), bool)
-    before[1:] = inside[:-1]
-    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
-    after = np.zeros(len(raw), bool)
-    after[:-1] = inside[1:]
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    return Words(raw, starts, ends, rows, np.bincount(rows, minlength=len(texts)))
+    inside = np.zeros(len(raw) + 2, bool)
+    if keep is NOT_SPACE:
+        inside[1:-1] = (raw > 32) | (raw < 9) | ((raw > 13) & (raw < 32))
+    else:
+        inside[1:-1] = keep[raw]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])  # where words start and end, in turns
+    cuts = np.unique(offsets[1:-1])
+    cuts = cuts[inside[cuts] & inside[cuts + 1]]  # texts that meet without a gap
+    if len(cuts):
+        turns = np.insert(turns, np.repeat(np.searchsorted(turns, cuts), 2), np.repeat(cuts, 2))
+    starts, ends = turns[::2], turns[1::2]
+    n = np.diff(np.searchsorted(starts, offsets))
+    return Words(raw, starts, ends, np.repeat(np.arange(len(n)), n), n)

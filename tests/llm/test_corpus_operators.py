@@ -83,23 +83,23 @@ def test_settled_boundaries_do_not_depend_on_context():
             assert settled <= places
 
 
-def test_line_dedup(spark, rows):
+@pytest.mark.parametrize("first_run", [{}, {"wide": 1, "room": 0, "best": 1}])
+def test_line_dedup(spark, rows, first_run):
     earlier: list[frozenset] = []
     want = {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         keep = []
         for line in (t or "").split("\n"):
             s = frozenset(x.encode() for x in tokens(line))
-            hit = len(s) >= 3 and any(100 * len(s & o) >= 80 * len(s | o) for o in earlier)
-            if len(s) >= 3:
-                earlier.append(s)
+            hit = s and any(100 * len(s & o) >= 80 * len(s | o) for o in earlier)
+            earlier.append(s)
             if not hit:
                 keep.append(line)
         want[i] = "\n".join(keep)
-    got = linejoin.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    got = linejoin.dedup_lines(spark.createDataFrame(rows, DOCS), **first_run).collect()
     assert {r.doc_id: r.text or "" for r in got} == want
     assert all(r.id == "clash" and r.line == 7 for r in got) and next(r.text for r in got if r.doc_id == 0) is None
-    assert all(r["__emptied"] == (r["__n_removed"] > 0 and not r.text.strip()) for r in got if r.text is not None)
+    assert all(r["emptied"] == (r["n_removed"] > 0 and not r.text.strip()) for r in got if r.text is not None)
 
 
 def test_winnowing(spark, rows):
@@ -187,7 +187,7 @@ def test_empty_tables_and_repeated_rows(spark):
     t = "some words that are here for a while and then again some words"
     twice = spark.createDataFrame([(1, t, "a", 1), (1, t, "a", 1), (2, t, "b", 2)], DOCS)
     assert sorted((r.doc_id, r.kept) for r in minhash.near_duplicates(twice).collect()) == [(1, True), (1, True), (2, False)]
-    assert sorted((r.doc_id, r["__n_removed"]) for r in linejoin.dedup_lines(twice).collect()) == [(1, 0), (1, 0), (2, 1)]
+    assert sorted((r.doc_id, r["n_removed"]) for r in linejoin.dedup_lines(twice).collect()) == [(1, 0), (1, 0), (2, 1)]
     assert sorted((r.doc_id, r.n_removed) for r in recompress.remove_repeats(twice, 10).collect()) == [(1, 0), (1, 0), (2, 13)]
 
 
