@@ -28,8 +28,9 @@ equal, less than one in a billion windows.
 
 Edge cases: null or wordless texts have no words and nothing removed; texts shorter than a
 window keep everything; overlapping repeats (runs) are removed but for the first window; ids
-are integers, and rows with the same id are taken for one document, so that rows repeated as
-a whole give equal results; an empty table gives an empty result.
+are of any kind that has an order, and rows with the same id are taken for one document, so that
+rows repeated as a whole give equal results; a row with a null id keeps its words, and they count
+for no other; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import slices, strings
+from tactigrid.llm.common import column, numbered, slices, strings
 from tactigrid.llm.textkit import NOT_SPACE, Words, mix, pair, words
 
 WINDOW, GRAM, LOW, HIGH = 20, 9, 2, 14
@@ -61,11 +62,12 @@ def rounds(names: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     for k in range(n):
         for step in ("runs", "pairs"):
             # to know about a boundary, know the symbols on both sides
-            # (elsewhere more words may stand before the first or after the last of a document)
+            # (elsewhere more words may stand before the first or after the last of a document:
+            # that a word ends there is known at first, but not that a symbol does later on)
             ends = np.append(first[1:], True)
             stop = np.append(place[1:], size)
             before = np.where(first, place - 1, np.append(low[:1], low[:-1]))
-            after = np.where(ends, stop + 1, np.append(high[1:], size))
+            after = np.where(ends, stop + (k > 0 or step == "pairs"), np.append(high[1:], size))
             low, high = np.minimum(low, before), np.maximum(high, after)
             keep = np.ones(len(names), bool)
             named = names
@@ -299,17 +301,21 @@ def _windows(docs: DataFrame, n: int, window: int, gram: int, low: int) -> DataF
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, low: int = LOW, high: int = HIGH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, starts, longs): every row with the spans, in words from 0, that repeat."""
+    """(id, text, starts, longs, key): every row with the spans, in words from 0, that repeat."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = numbered(docs, key)
+    every = docs.select(column(docs.columns[-1]).alias("id"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"), column(key).alias("key"))
+    texts = every.where("id is not null")
     dealt = texts.repartition(n, "id")
 
     def with_spans(found: DataFrame) -> DataFrame:
         per = found.groupBy("id").agg(F.collect_list(F.struct("start", "long")).alias("s"))
-        return dealt.join(per.select("id", "s.start", "s.long"), "id", "left").toDF("id", "text", "starts", "longs")
+        return dealt.join(per.select("id", "s.start", "s.long"), "id", "left").select("id", "text", F.col("start").alias("starts"), F.col("long").alias("longs"), "key")
 
     marked = with_spans(_compared(_names(texts, n, window, gram, low, high), n))
-    return with_spans(_compared(_windows(marked, n, window, gram, low), n))
+    found = with_spans(_compared(_windows(marked, n, window, gram, low), n))
+    none = F.lit(None).cast("array<int>")
+    return found.union(every.where("id is null").select("id", "text", none, none, "key"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", texts: bool = True, **parameters) -> DataFrame:
@@ -318,13 +324,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            column = strings(batch.column(1))
-            found = words(column, NOT_SPACE)
+            own_texts = strings(batch.column(1))
+            found = words(own_texts, NOT_SPACE)
             begin = _places(_filled(batch.column(2)), found)
             gone = _inside(found, begin, begin + _filled(batch.column(3)).flatten().to_numpy(zero_copy_only=False))
-            removed = np.bincount(found.rows[gone], minlength=len(column))
+            removed = np.bincount(found.rows[gone], minlength=len(own_texts))
             sha, kept, first = [], [], found.first
-            for i, t in enumerate(column.to_pylist()):
+            for i, t in enumerate(own_texts.to_pylist()):
                 own = t.encode().split()
                 if removed[i]:
                     own = [own[k] for k in np.flatnonzero(~gone[first[i] : first[i] + len(own)]).tolist()]
@@ -332,11 +338,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 sha.append(hashlib.sha256(raw).hexdigest())
                 if texts:
                     kept.append(raw.decode())
-            out = [batch.column(0), pa.array(found.n), pa.array(removed), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.string())] * texts, names=["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)
+            out = [batch.column(4), pa.array(found.n), pa.array(removed), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.string())] * texts, names=["key", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)
 
     found = repeats(docs, window, key=key, text=text, **parameters)
-    return found.mapInArrow(cleaned, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts).withColumnRenamed("id", key)
+    kind = docs.schema[key].dataType.simpleString()
+    return found.mapInArrow(cleaned, f"key {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts).withColumnRenamed("key", key)
 
 
 def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
