@@ -48,7 +48,7 @@ def teleports(sightings: DataFrame, factor: float = 6.0, max_gap: int = 3) -> Da
     """Sightings that leave and come back: far from both neighbours, which are near each other."""
     w = Window.partitionBy("match_id").orderBy("frame")
     names = {f"{p}_{c}": f(c).over(w) for p, f in (("p", F.lag), ("n", F.lead)) for c in ("frame", "x", "y")}
-    rows = sightings.withColumns(names).join(F.broadcast(median_step(sightings)), "match_id")
+    rows = sightings.withColumns(names).join(median_step(sightings), "match_id")
     limit = factor * F.col("step")
     far = lambda a, b: F.sqrt((F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2)
     near = (F.col("frame") - F.col("p_frame") <= max_gap) & (F.col("n_frame") - F.col("frame") <= max_gap)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactigrid.functions.geometry import iou
@@ -31,19 +31,37 @@ def candidates(truth: DataFrame, predicted: DataFrame, tolerance: float = 4.0) -
 def match_events(truth: DataFrame, predicted: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """One-to-one pairs (match_id, kind, side, t_id, p_id, gap, agreed) of least total time error.
 
-    Pairs only exist within a match, kind and team, so each such group is assigned alone."""
+    Pairs only exist within a match, kind and team, and only between events that are near in
+    time. Sorted by time, such a group falls apart where no pair spans a moment; as no choice on
+    one side of it bears on the other, each part is assigned alone: as many pairs as can be, and
+    of these the nearest."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, p = np.unique(pdf["t_id"]), np.unique(pdf["p_id"])
+    def chosen(at: np.ndarray, t_id: np.ndarray, p_id: np.ndarray, gap: np.ndarray) -> list[int]:
+        t, rows = np.unique(t_id, return_inverse=True)
+        p, cols = np.unique(p_id, return_inverse=True)
         cost = np.full((len(t), len(p)), 1e6)
-        rows, cols = np.searchsorted(t, pdf["t_id"]), np.searchsorted(p, pdf["p_id"])
-        cost[rows, cols] = pdf["gap"]
-        where = {(r, c): k for k, (r, c) in enumerate(zip(rows.tolist(), cols.tolist(), strict=True))}
-        kept = [where[pair] for pair in assign(cost) if pair in where]
-        out = pdf.iloc[kept]
+        cost[rows, cols] = gap
+        where = dict(zip(zip(rows.tolist(), cols.tolist(), strict=True), at.tolist(), strict=True))
+        return [where[pair] for pair in assign(cost) if pair in where]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "t_id", "p_id"], kind="stable").reset_index(drop=True)
+        t_id, p_id, gap = (pdf[c].to_numpy() for c in ("t_id", "p_id", "gap"))
+        begin = np.flatnonzero(np.diff(pdf["part"].to_numpy(), prepend=-1))
+        size = np.diff(begin, append=len(pdf))
+        kept = begin[size == 1].tolist()  # a pair that is alone
+        for lo, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            at = np.arange(lo, lo + n)
+            kept += chosen(at, t_id[at], p_id[at], gap[at])
+        out = pdf.iloc[sorted(kept)]
         return out.assign(agreed=out["t_outcome"] == out["p_outcome"])[["match_id", "kind", "side", "t_id", "p_id", "gap", "agreed"]]
 
-    return candidates(truth, predicted, tolerance).groupBy("match_id", "kind", "side").applyInPandas(pick, "match_id bigint, kind string, side string, t_id bigint, p_id bigint, gap double, agreed boolean")
+    # a pair starts a new part if it begins after all pairs before it have ended
+    w = Window.partitionBy("match_id", "kind", "side").orderBy("from", "t_id", "p_id")
+    pairs = candidates(truth, predicted, tolerance).withColumns({"from": F.least("t_t", "p_t"), "to": F.greatest("t_t", "p_t")})
+    reached = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pairs = pairs.withColumn("new", F.when(F.col("from") > reached, 1).otherwise(0)).withColumn("part", F.sum("new").over(w)).drop("from", "to", "new")
+    return pairs.groupBy("match_id", "kind", "side").applyInPandas(pick, "match_id bigint, kind string, side string, t_id bigint, p_id bigint, gap double, agreed boolean")
 
 
 def missed(truth: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -84,8 +102,6 @@ def chance(truth: DataFrame, predicted: DataFrame, span_s: float, shifts: int =
 
 def split_tracks(people: DataFrame, gap: int = 10, least: int = 60, shift: int = 10_000) -> DataFrame:
     """Long tracks cut in two with ``gap`` rows left out: what re-linking should join again."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("match_id", "track_id")
     rows = people.withColumns({"__i": F.row_number().over(w.orderBy("frame")) - 1, "__n": F.count("*").over(w)})
     half = F.floor(F.col("__n") / 2)
@@ -131,7 +147,33 @@ def promote(found: float, wrong: float, old_found: float, old_wrong: float, marg
     return found - 1.5 * wrong > old_found - 1.5 * old_wrong + margin
 
 
-def suitability(samples: DataFrame) -> DataFrame:
-    """Sampled frames (match_id, people, ball, grass) judged for analysis."""
-    n = samples.groupBy("match_id").agg(F.avg("people").alias("people"), F.avg(F.col("ball").cast("double")).alias("ball"), F.avg("grass").alias("grass"))
-    return n.withColumn("verdict", F.when((F.col("people") >= 10) & (F.col("grass") >= 0.4), "suitable").when(F.col("people") >= 5, "limited").otherwise("unsuitable"))
+def promote_players(map50: float, old_map50: float, margin: float = 0.002) -> bool:
+    """A new model of players replaces the old one if its mAP50 rises by more than ``margin``."""
+    return map50 > old_map50 + margin
+
+
+def promotions(rates: DataFrame, margin: float = 0.02) -> DataFrame:
+    """Measured pairs of ball models (…, found, wrong, old_found, old_wrong) with the score of each
+    and whether the new one is kept."""
+    score = lambda p: F.col(f"{p}found") - 1.5 * F.col(f"{p}wrong")
+    return rates.withColumns({"score": score(""), "old_score": score("old_"), "kept": score("") > score("old_") + margin})
+
+
+def suitability(samples: DataFrame, videos: DataFrame) -> DataFrame:
+    """Whether footage is worth analysing: sampled frames (match_id, solved, people, person_height)
+    of videos (match_id, height, fps, watched, cuts; ``watched`` and ``cuts`` count frames).
+
+    Not usable where the pitch is solved in less than half of the samples, people fill more than
+    35 % of the height, or the camera cuts more than 20 times a minute; good from 80 % and up to
+    8 cuts a minute; else usable."""
+    n = samples.groupBy("match_id").agg(F.avg(F.col("solved").cast("double")).alias("solved"), F.coalesce(F.median("people"), F.lit(0.0)).alias("people"), F.coalesce(F.median("person_height"), F.lit(0.0)).alias("tall"))
+    rows = n.join(videos, "match_id")
+    rows = rows.withColumns({"tall": F.when(F.col("height") > 0, F.col("tall") / F.col("height")).otherwise(0.0), "cuts_per_minute": F.when((F.col("watched") > 0) & (F.col("fps") > 0), F.col("cuts") / (F.col("watched") / F.col("fps") / 60)).otherwise(0.0)})
+    bad = (F.col("solved") < 0.5) | (F.col("tall") > 0.35) | (F.col("cuts_per_minute") > 20)
+    fair = (F.col("solved") < 0.8) | (F.col("cuts_per_minute") > 8)
+    return rows.select("match_id", "solved", "people", "tall", "cuts_per_minute", F.when(bad, "not usable").when(fair, "usable").otherwise("good").alias("verdict"))
+
+
+def of_kinds(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Predictions of the kinds that were tagged in their match at all."""
+    return predicted.join(truth.select("match_id", "event").distinct(), ["match_id", "event"], "left_semi")

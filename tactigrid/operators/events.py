@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from tactigrid.config import BOX_WIDTH, GOALKEEPER, LENGTH, WIDTH, Events
 from tactigrid.functions.geometry import clock, distance, in_box, in_goal_mouth, to_tagger
+from tactigrid.functions.ranges import between_frames
 
 KEYS = ["match_id", "spell"]
-#: Ball rows are met by range; both sides are cut into buckets of so many frames to join on equality.
-BUCKET = 256
 EVENT = "match_id bigint, seq bigint, team int, track_id int, event string, outcome string, frame bigint, time_s double, start_x double, start_y double, end_x double, end_y double, confidence double"
 
 
@@ -32,13 +31,6 @@ def attacking_directions(people: DataFrame, teams: DataFrame, classes: DataFrame
     return way.withColumn("first", first).select("match_id", "team", F.when((F.col("team") == 2) & (F.col("direction") == F.col("first")), -F.col("direction")).otherwise(F.col("direction")).alias("direction"))
 
 
-def between_frames(spans: DataFrame, rows: DataFrame, low: str, high: str) -> DataFrame:
-    """``spans`` with every row of the same match whose frame is from ``low`` to ``high``."""
-    cut = spans.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / BUCKET), F.floor(F.greatest(low, high) / BUCKET))))
-    right = rows.withColumn("__bucket", F.floor(F.col("frame") / BUCKET))
-    return cut.join(right, ["match_id", "__bucket"]).where(F.col("frame").between(F.col(low), F.col(high))).drop("__bucket")
-
-
 def evidence(spells: DataFrame, ball: DataFrame, reference: float = 0.7) -> DataFrame:
     """(match_id, spell, evidence): how much of a spell the ball was really seen, times how surely."""
     position = next((c for c in ("img_x", "pitch_x") if c in ball.columns), None)

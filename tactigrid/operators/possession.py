@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tactigrid.config import GOALKEEPER, REFEREE, Possession
 from tactigrid.functions.geometry import distance, percent
+from tactigrid.functions.ranges import between_frames
 
 
 def nearest_holder(people: DataFrame, ball: DataFrame, teams: DataFrame, config: Possession = Possession(), frame_width: float = 1920.0) -> DataFrame:
@@ -106,7 +107,8 @@ def spells(steadied: DataFrame, people: DataFrame, ball: DataFrame, teams: DataF
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.min("time_s").alias("start_time"), F.max("time_s").alias("end_time"), F.count("*").alias("rows")
     ).where(F.col("rows") >= config.min_spell)
     seen = people.where(F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull()).select("match_id", "track_id", "frame", F.struct(F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y")).alias("xy"))
-    met = runs.join(seen, ["match_id", "track_id"]).where(F.col("frame").between(F.col("start_frame"), F.col("end_frame")))
+    # (runs and sightings are met in buckets of frames, not all of a track with all)
+    met = between_frames(runs, seen, "start_frame", "end_frame", ("match_id", "track_id"))
     keys = ["match_id", "spell", "track_id", "start_frame", "end_frame", "start_time", "end_time"]
     found = met.groupBy(*keys).agg(F.min("frame").alias("contact_start"), F.max("frame").alias("contact_end"), F.min_by("xy", "frame").alias("start_xy"), F.max_by("xy", "frame").alias("end_xy"))
     where = ball.where(F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull()).select("match_id", "frame", F.struct(F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y")).alias("ball"))

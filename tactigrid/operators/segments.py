@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.operators.events import between_frames
+from tactigrid.functions.ranges import between_frames
 
 
 @dataclass

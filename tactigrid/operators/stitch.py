@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tactigrid.config import PLAYER, Stitch
 from tactigrid.functions.geometry import distance, vector_distance
 from tactigrid.operators.assignment import assign
+from tactigrid.sources.scratch import stored
 from tactigrid.operators.tracks import TRACK
 
 
@@ -117,7 +118,8 @@ def link(parts: DataFrame, fps: float = 25.0, frame_width: float = 1920.0, confi
     """(match_id, track_id, root) after all rounds, near gaps first; the root is the smallest id.
 
     A round's links form paths (one-to-one, forwards in time), resolved within the match, which
-    bounds the group."""
+    bounds the group. What a round leaves is written out (``stored``), as the next one reads it
+    several times."""
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         top: dict[int, int] = {}
@@ -127,11 +129,12 @@ def link(parts: DataFrame, fps: float = 25.0, frame_width: float = 1920.0, confi
             top.update(dict.fromkeys(group, least))
         return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "track_id": list(top), "root": list(top.values())})
 
+    parts = stored(parts)
     mapping = parts.select("match_id", "track_id", F.col("track_id").alias("root"))
     for gap in config.rounds:
         chosen = choose(pair_costs(parts, gap, fps, frame_width, config), config.ambiguity)
-        roots = chosen.groupBy("match_id").applyInPandas(resolve, "match_id bigint, track_id int, root int")
-        parts = merge(parts, roots)
+        roots = stored(chosen.groupBy("match_id").applyInPandas(resolve, "match_id bigint, track_id int, root int"))
+        parts = stored(merge(parts, roots))
         up = roots.select("match_id", F.col("track_id").alias("root"), F.col("root").alias("over"))
         mapping = mapping.join(up, ["match_id", "root"], "left").select("match_id", "track_id", F.coalesce("over", "root").alias("root"))
     return mapping

@@ -75,6 +75,17 @@ def lifetimes(people: DataFrame) -> DataFrame:
     return people.groupBy(*TRACK).agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("rows"), (F.max("time_s") - F.min("time_s")).alias("span_s"))
 
 
+def lifetime_summary(people: DataFrame, long_s: float = 5.0) -> DataFrame:
+    """How long identities of a match last: how many, how many ``long_s`` seconds or more, median
+    and mean in seconds."""
+    return lifetimes(people).groupBy("match_id").agg(F.count("*").alias("identities"), F.count_if(F.col("span_s") >= long_s).alias("lasting"), F.median("span_s").alias("median_s"), F.avg("span_s").alias("mean_s"))
+
+
+def of_team(people: DataFrame, teams: DataFrame, team: int) -> DataFrame:
+    """Rows of a team's tracks."""
+    return people.join(teams.where(F.col("team") == team), TRACK, "left_semi")
+
+
 def churn(people: DataFrame) -> DataFrame:
     """Identities per person on screen, with a verdict."""
     per = people.groupBy("match_id", "frame").agg(F.count("*").alias("n")).groupBy("match_id").agg(F.avg("n").alias("mean_on_screen"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tactigrid.plans import core, more
+from tactigrid.plans import core, extra, more
 
-QUERIES = core.QUERIES | more.QUERIES
-ORACLES = core.ORACLES | more.ORACLES
+QUERIES = core.QUERIES | more.QUERIES | extra.QUERIES
+ORACLES = core.ORACLES | more.ORACLES | extra.ORACLES

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FRAMES = "SELECT event_id {div} 4000 AS match_id, event_id {div} 10 % 400 AS k, (event_id {div} 10 % 400) * 2 AS frame, (event_id {div} 10 % 400) / 125e-1 AS time_s FROM events WHERE event_id % 10 = 0"
+#: Every event is a frame; 4000 of them are a match.
+FRAMES = "SELECT event_id {div} 4000 AS match_id, event_id % 4000 AS k, (event_id % 4000) * 2 AS frame, (event_id % 4000) / 125e-1 AS time_s FROM events"
 
 #: Where a track is at step k: keepers and the referee stand, the others walk to and fro.
 _X = "(abs((k * 24 + {t} * 997) % 21000 - 10500) / 1e2)"
@@ -23,11 +24,16 @@ PEOPLE = (
     " FROM frames CROSS JOIN ids WHERE (k + track_id * 7) % 29 <> 0 AND NOT (track_id = 22 AND k > 15)) AS a) AS b"
 )
 
+#: The ball is with somebody for nine of twelve steps. Who has it near the goal they attack shoots:
+#: from the sixth step on it flies to a place in or beside the goal.
 BALL = (
     "SELECT match_id, frame, time_s, CASE WHEN seen THEN bx * 16e0 + 100e0 END AS img_x, CASE WHEN seen THEN by_ * 10e0 + 200e0 END AS img_y,"
-    " CASE WHEN seen AND k % 23 <> 5 THEN bx END AS pitch_x, CASE WHEN seen AND k % 23 <> 5 THEN by_ END AS pitch_y, CASE WHEN seen THEN (40 + k % 50) / 1e2 ELSE 0e0 END AS conf"
+    " CASE WHEN seen AND k % 23 <> 5 THEN bx END AS pitch_x, CASE WHEN seen AND k % 23 <> 5 THEN by_ END AS pitch_y, CASE WHEN seen THEN (40 + k % 50) / 97e0 ELSE 0e0 END AS conf"
     " FROM (SELECT match_id, frame, time_s, k, k % 12 < 9 AND NOT (k BETWEEN 200 AND 230) AS seen,"
-    " " + _X.format(t="carrier") + " + 5e-1 + CASE WHEN k % 61 = 20 THEN 30e0 ELSE 0e0 END AS bx, " + _Y.format(t="carrier") + " + 25e-2 AS by_ FROM (SELECT match_id, frame, time_s, k, 2 + ((k {div} 12) * 5) % 21 AS carrier FROM frames) AS c) AS d"
+    " CASE WHEN shoots THEN cx + (goal - cx) * (k % 12 - 4) / 4e0 ELSE cx + 5e-1 + CASE WHEN k % 61 = 20 THEN 30e0 ELSE 0e0 END END AS bx,"
+    " CASE WHEN shoots THEN cy + (34e0 + ((k {div} 12 + match_id) % 5 - 2) * 2e0 - cy) * (k % 12 - 4) / 4e0 ELSE cy + 25e-2 END AS by_"
+    " FROM (SELECT *, CASE WHEN carrier <= 11 THEN 105e0 ELSE 0e0 END AS goal, k % 12 > 4 AND ((carrier <= 11 AND cx >= 75e0) OR (carrier > 11 AND cx <= 30e0)) AS shoots"
+    " FROM (SELECT *, " + _X.format(t="carrier") + " AS cx, " + _Y.format(t="carrier") + " AS cy FROM (SELECT match_id, frame, time_s, k, 2 + ((k {div} 12 + match_id) * 5) % 21 AS carrier FROM frames) AS c) AS p) AS q) AS d"
 )
 
 TEAMS = "SELECT DISTINCT match_id, track_id, CASE WHEN track_id <= 11 THEN 1 WHEN track_id <= 22 THEN 2 ELSE 0 END AS team FROM people"

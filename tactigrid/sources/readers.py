@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tactigrid.functions.geometry import centre, foot
+
 WIRE = "Team string, Player string, Event string, Outcome string, Mins double, Secs double, X double, Y double, X2 string, Y2 string, half int, source string, confidence double, track_id int, frame bigint, t double"
 
 
@@ -36,19 +38,19 @@ def match_events(spark: SparkSession, path: str, match_id: int) -> DataFrame:
 
 
 def _number(c: Column) -> Column:
-    """A finite number, or null."""
-    n = c.try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    """A number (an infinite one too), or null. (A cast would take a letter for a kind after it.)"""
+    n = F.when(~c.rlike(r"[0-9.]\s*[dDfF]\s*$"), c.try_cast("double"))
+    return F.when(~F.isnan(n), n)
 
 
 def payload_rows(raw: DataFrame) -> DataFrame:
     """Event payloads, all columns text as sent, to store rows: texts cut to size, numbers coerced,
-    what is no number null, zero track and frame null."""
+    what is no number null, zero track and frame null, no half the first, no source a person."""
     text = lambda c, n, default="": F.substring(F.coalesce(c, F.lit(default)), 1, n).alias(c.lower())
     whole = lambda c, default: F.coalesce(_number(F.col(c)).try_cast("int"), F.lit(default))
     return raw.select(
         text("Team", 100), text("Player", 200), text("Event", 100), text("Outcome", 100), whole("Mins", 0).alias("mins"), whole("Secs", 0).alias("secs"),
-        *[_number(F.col(c)).alias(c.lower()) for c in ("X", "Y", "X2", "Y2")], whole("half", 1).alias("half"), F.substring(F.coalesce("source", F.lit("manual")), 1, 20).alias("source"),
+        *[_number(F.col(c)).alias(c.lower()) for c in ("X", "Y", "X2", "Y2")], F.coalesce(F.nullif(whole("half", 1), F.lit(0)), F.lit(1)).alias("half"), F.substring(F.coalesce(F.nullif("source", F.lit("")), F.lit("manual")), 1, 20).alias("source"),
         _number(F.col("confidence")).alias("confidence"), F.nullif(whole("track_id", 0), F.lit(0)).alias("track_id"), F.nullif(_number(F.col("frame")).try_cast("bigint"), F.lit(0)).alias("frame"),
     )
 
@@ -72,3 +74,47 @@ def probed(videos: DataFrame) -> DataFrame:
 
 def stale_uploads(files: DataFrame, now_s: float, days: float = 7.0) -> DataFrame:
     return files.where(F.col("mtime") < now_s - days * 86400)
+
+
+def batched(frames: DataFrame, size: int = 8) -> DataFrame:
+    """(match_id, batch, frames): frames of each match in order, ``size`` at a time."""
+    i = F.row_number().over(Window.partitionBy("match_id").orderBy("frame")) - 1
+    rows = frames.withColumn("batch", F.floor(i / size).cast("bigint"))
+    return rows.groupBy("match_id", "batch").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+
+
+def split_counts(files: DataFrame) -> DataFrame:
+    """How many pictures (path .../<folder>/images/<name>) each split of a data set has; the folder
+    of the split ``val`` is called valid."""
+    folder = F.regexp_extract("path", r"([^/]+)/images/[^/]+$", 1)
+    rows = files.withColumn("split", F.when(folder == "valid", "val").otherwise(folder))
+    return rows.where(F.col("split").isin("train", "val", "test")).groupBy("data_set", "split").agg(F.count("*").alias("n"))
+
+
+def people_rows(detections: DataFrame) -> DataFrame:
+    """Tracked detections (match_id, frame, time_s, track_id, cls, x1, y1, x2, y2, pitch: struct<x, y>)
+    as observations; what has no track is left out, and a place that isn't known is null."""
+    x, y = foot(F.col("x1"), F.col("x2"), F.col("y2"))
+    return detections.where(F.col("track_id").isNotNull()).select("match_id", "frame", "time_s", "track_id", "cls", "x1", "y1", "x2", "y2", x.alias("img_x"), y.alias("img_y"), F.col("pitch.x").alias("pitch_x"), F.col("pitch.y").alias("pitch_y"))
+
+
+def ball_rows(detections: DataFrame) -> DataFrame:
+    """A row for each frame (match_id, frame, time_s, box: struct<x1, y1, x2, y2>, pitch: struct<x, y>,
+    conf): where the ball is not seen, all of it is null and the confidence 0."""
+    seen = F.col("box").isNotNull()
+    x, y = centre(*[F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")])
+    return detections.select("match_id", "frame", "time_s", x.alias("img_x"), y.alias("img_y"), F.when(seen, F.col("pitch.x")).alias("pitch_x"), F.when(seen, F.col("pitch.y")).alias("pitch_y"), F.when(seen, F.col("conf")).otherwise(0.0).alias("conf"))
+
+
+def cached(observations: DataFrame, path: str) -> DataFrame:
+    """Observations kept for experiments: written on the first call, by match, then read back."""
+    spark = observations.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        observations.write.mode("overwrite").partitionBy("match_id").parquet(path)
+    return spark.read.parquet(path)
+
+
+def append_observations(rows: DataFrame, path: str) -> None:
+    """Observations added to those of their matches."""
+    rows.write.mode("append").partitionBy("match_id").parquet(path)

@@ -76,3 +76,27 @@ def report(teams: DataFrame, players: DataFrame, most: int = 12) -> str:
     lines.append("PLAYER  TEAM  TOUCHES  DISTANCE  TOP")
     lines += [f"#{r.track_id:<6} {r.team:>4}  {r.touches:>7}  {r.distance_m:>7.0f} m {r.top_kmh:5.1f}" for r in players.orderBy(F.desc("touches"), "track_id").limit(most).collect()]
     return "\n".join(lines)
+
+
+def whole_export(events: DataFrame, stats: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(match_id, document): events in order, statistics and diagnostics of a match as one JSON
+    object. ``stats`` (match_id, payload) and ``diagnostics`` (match_id, diagnostics) are JSON
+    texts already and go in as they are; what a match lacks is an empty list or object."""
+    rest = [c for c in events.columns if c != "match_id"]
+    listed = events.groupBy("match_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.struct("mins", "secs", "event_id").alias("o"), F.struct(*rest).alias("e")))), lambda s: s["e"])).alias("events"))
+    out = listed.join(stats, "match_id", "full").join(diagnostics, "match_id", "full")
+    part = lambda c, empty: F.coalesce(F.col(c), F.lit(empty))
+    return out.select("match_id", F.concat(F.lit('{"events":'), part("events", "[]"), F.lit(',"stats":'), part("payload", "{}"), F.lit(',"diagnostics":'), part("diagnostics", "{}"), F.lit("}")).alias("document"))
+
+
+def metrics_report(sections: list[dict]) -> str:
+    """Measured models as Markdown. A section has a model, a split, and either a list ``metrics`` of
+    (name, value) or, as tables, ``columns`` and ``rows``; an empty one is passed over."""
+    lines = ["# Model evaluation", ""]
+    for s in filter(None, sections):
+        head = s.get("columns", ["metric", "value"])
+        rows = s.get("rows") or s.get("metrics", [])
+        lines += [f"## {s['model']}  ({s.get('split', '')})", ""]
+        lines += [f"| {' | '.join(head)} |", "|" + "---|" * len(head)]
+        lines += [f"| {' | '.join(str(v) for v in row)} |" for row in rows] + [""]
+    return "\n".join(lines)

@@ -68,3 +68,29 @@ def timeline_stream(holders: DataFrame, kickoff: str = "2000-01-01 00:00:00", wi
 def votes_stream(observations: DataFrame) -> DataFrame:
     """Team votes per track as they come in (update mode)."""
     return observations.groupBy("match_id", "track_id", "team").agg(F.count("*").alias("n"))
+
+
+def calibration_stream(rows: DataFrame, max_reuse: int = 75) -> DataFrame:
+    """The homography to use for each frame as it comes: the last one solved since the last cut, if
+    it is at most ``max_reuse`` frames old. ``rows`` are (match_id, frame, cut, matrix), with a null
+    matrix where a frame wasn't solved; a frame at a cut is of the new shot. What comes later
+    can't be seen, so nothing is blended."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, matrix, last = state.get if state.exists else (-1, [], -1)
+        pdf = pd.concat(list(batches)).sort_values("frame")
+        pdf = pdf[pdf["frame"] > last]
+        froms, matrices = [], []
+        for r in pdf.itertuples():
+            last = int(r.frame)
+            if r.cut:
+                at, matrix = -1, []
+            if r.matrix is not None:
+                at, matrix = last, [float(x) for x in r.matrix]
+            fresh = at >= 0 and last - at <= max_reuse
+            froms.append(at if fresh else None)
+            matrices.append(matrix if fresh else None)
+        state.update((at, matrix, last))
+        yield pdf[["match_id", "frame"]].assign(solved_frame=pd.array(froms, "Int64"), matrix=matrices)
+
+    return rows.groupBy("match_id").applyInPandasWithState(fold, "match_id bigint, frame bigint, solved_frame bigint, matrix array<double>", "at bigint, matrix array<double>, last bigint", "append", GroupStateTimeout.NoTimeout)

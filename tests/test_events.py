@@ -25,19 +25,36 @@ def spell(t, team, a, b, s, e=None, keeper=False):
     return (t, team, a, b, s, e or s, keeper)
 
 
+# Team 1 plays to the right, team 2 to the left; every case is made from the rule it shows.
+HOME_KEEPER = spell(1, 1, 745, 760, (1.5, 33.0), keeper=True)
+STRIKER = spell(21, 2, 700, 708, (17.0, 30.0))
 CASES = {
-    "pass": ([spell(7, 1, 100, 110, (40.0, 30.0)), spell(9, 1, 120, 130, (58.0, 22.0))], None, {("Pass", "Successful", 7)}),
-    "interception": ([spell(7, 1, 100, 110, (40.0, 30.0)), spell(4, 2, 125, 140, (62.0, 24.0))], None, {("Pass", "Unsuccessful", 7), ("Interception", "", 4)}),
-    "tackle": ([spell(7, 1, 100, 110, (40.0, 30.0)), spell(4, 2, 114, 130, (41.5, 31.0))], None, {("Tackle", "Successful", 4)}),
-    "goal": ([spell(11, 1, 200, 205, (90.0, 34.0)), spell(1, 2, 240, 250, (104.0, 34.0), keeper=True)], (205, 220, (90.0, 34.0), (105.2, 34.0)), {("Shot", "Goal", 11)}),
-    "saved": ([spell(11, 1, 200, 205, (88.0, 32.0)), spell(1, 2, 212, 230, (104.0, 34.0), keeper=True)], (205, 212, (88.0, 32.0), (103.5, 34.0)), {("Shot", "Saved", 11)}),
-    "cross": ([spell(2, 1, 300, 305, (92.0, 4.0)), spell(9, 1, 320, 330, (96.0, 34.0))], None, {("Cross", "Successful", 2)}),
-    "clearance": ([spell(5, 1, 400, 405, (12.0, 34.0)), spell(8, 2, 440, 450, (60.0, 40.0))], None, {("Clearance", "", 5)}),
-    "dribble": ([spell(10, 1, 500, 540, (40.0, 34.0), (52.0, 34.0)), spell(10, 1, 545, 560, (52.0, 34.0))], None, {("Dribble", "Successful", 10)}),
-    "assist": ([spell(8, 1, 100, 105, (70.0, 40.0)), spell(9, 1, 118, 124, (88.0, 34.0))], (124, 136, (88.0, 34.0), (105.3, 34.0)), {("Shot Assist", "Successful", 8), ("Shot", "Goal", 9)}),
-    "long gap": ([spell(7, 1, 100, 110, (40.0, 30.0)), spell(9, 1, 600, 610, (58.0, 22.0))], None, set()),
-    "too far": ([spell(7, 1, 100, 110, (12.0, 34.0)), spell(9, 1, 150, 160, (95.0, 34.0))], None, set()),
-    "keeper reach": ([spell(1, 1, 100, 110, (10.0, 34.0), keeper=True), spell(9, 1, 150, 160, (80.0, 34.0))], None, {("Pass", "Successful", 1)}),
+    # team-mates 14.4 m apart, 0.56 s later
+    "pass": ([spell(14, 2, 30, 44, (61.0, 47.0)), spell(16, 2, 58, 70, (49.0, 55.0))], None, {("Pass", "Successful", 14)}),
+    # to an opponent 19.7 m away: too short for a clearance, too far for a duel
+    "lost": ([spell(3, 1, 30, 44, (33.0, 12.0)), spell(18, 2, 70, 82, (51.0, 20.0))], None, {("Pass", "Unsuccessful", 3), ("Interception", "", 18)}),
+    # an opponent takes over 2.8 m away, 0.4 s later; or 1.4 s later, which is neither duel nor pass
+    "duel": ([spell(20, 2, 400, 410, (70.0, 50.0)), spell(6, 1, 420, 433, (72.0, 52.0))], None, {("Tackle", "Successful", 6)}),
+    "slow duel": ([spell(20, 2, 400, 410, (70.0, 50.0)), spell(6, 1, 445, 460, (72.0, 52.0))], None, set()),
+    # over the line inside the posts, over it beside them, stopped by the keeper, by somebody else
+    "in": ([STRIKER, HOME_KEEPER], (708, 722, (17.0, 30.0), (-0.4, 33.0)), {("Shot", "Goal", 21)}),
+    "beside": ([STRIKER, HOME_KEEPER], (708, 722, (17.0, 30.0), (-0.4, 39.5)), {("Shot", "Off Target", 21)}),
+    "held": ([STRIKER, spell(1, 1, 717, 730, (4.0, 33.0), keeper=True)], (708, 716, (17.0, 30.0), (4.0, 33.0)), {("Shot", "Saved", 21)}),
+    "in the way": ([STRIKER, spell(5, 1, 717, 730, (6.0, 32.5))], (708, 716, (17.0, 30.0), (6.0, 32.5)), {("Shot", "Blocked", 21)}),
+    # at the goal, but ten metres beside it: no shot, and nobody gets it
+    "past": ([STRIKER], (708, 722, (17.0, 30.0), (-0.4, 52.0)), set()),
+    # from the wing of the last third into the box
+    "from the wing": ([spell(15, 2, 900, 908, (24.0, 60.0)), spell(22, 2, 925, 935, (9.0, 30.0))], None, {("Cross", "Successful", 15)}),
+    # 39 m out of the own third, to an opponent
+    "cleared": ([spell(13, 2, 1000, 1006, (88.0, 31.0)), spell(8, 1, 1060, 1070, (50.0, 22.0))], None, {("Clearance", "", 13)}),
+    # 7.2 m with the ball, then lost
+    "run": ([spell(10, 1, 1200, 1230, (50.0, 20.0), (56.0, 24.0)), spell(17, 2, 1260, 1270, (80.0, 40.0))], None, {("Dribble", "Failed", 10), ("Pass", "Unsuccessful", 10), ("Interception", "", 17)}),
+    # the pass arrives where the shot is struck, a second before
+    "set up": ([spell(18, 2, 1300, 1306, (40.0, 30.0)), spell(19, 2, 1322, 1330, (22.0, 33.0))], (1330, 1344, (22.0, 33.0), (-0.5, 34.0)), {("Shot Assist", "Successful", 18), ("Shot", "Goal", 19)}),
+    # more than eight seconds between, and more than 60 m, which only a keeper kicks
+    "thread lost": ([spell(14, 2, 30, 44, (61.0, 47.0)), spell(16, 2, 250, 262, (49.0, 55.0))], None, set()),
+    "too far": ([spell(4, 1, 30, 44, (30.0, 30.0)), spell(11, 1, 90, 99, (96.0, 42.0))], None, set()),
+    "kicked far": ([spell(1, 1, 30, 44, (8.0, 30.0), keeper=True), spell(11, 1, 90, 99, (74.0, 42.0))], None, {("Pass", "Successful", 1)}),
 }
 
 
