@@ -186,19 +186,22 @@ def fit_frames(points: DataFrame, least: int = 5, tolerance: float = 8.0, width:
     there are ``least`` points and the fit is believable: matrix, inverse, n_points, mean error in
     pixels. For points that a person marked ``least`` is 4 and ``tolerance`` 12."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, pitch = pdf[["img_x", "img_y"]].to_numpy(float), pdf[["pitch_x", "pitch_y"]].to_numpy(float)
-        out = pd.DataFrame(columns=["match_id", "frame", "matrix", "inverse", "n_points", "error"])
-        if len(pdf) < least:
-            return out
-        found = believable(image, pitch, width, height, tolerance)
-        if found is None:
-            return out
-        h, inverse, used, error = found
-        out.loc[0] = [pdf["match_id"].iloc[0], pdf["frame"].iloc[0], h.ravel().tolist(), inverse.ravel().tolist(), used, error]
-        return out
-
-    return points.groupBy("match_id", "frame").applyInPandas(fit, "match_id bigint, frame bigint, matrix array<double>, inverse array<double>, n_points int, error double")
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["match_id", "frame", "matrix", "inverse", "n_points", "error"]
+        for pdf in batches:
+            out = []
+            for match, frame, at in zip(pdf["match_id"], pdf["frame"], pdf["points"], strict=True):
+                p = np.array([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in at], float)
+                found = believable(p[:, :2], p[:, 2:], width, height, tolerance)
+                if found is not None:
+                    h, inverse, used, error = found
+                    out.append((match, frame, h.ravel().tolist(), inverse.ravel().tolist(), used, error))
+            yield pd.DataFrame(out, columns=names)
+
+    # a frame's points, a few dozen at most, travel as one row
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("img_x", "img_y", "pitch_x", "pitch_y")])
+    rows = points.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(point)).alias("points")).where(F.size("points") >= least)
+    return rows.mapInPandas(fit, "match_id bigint, frame bigint, matrix array<double>, inverse array<double>, n_points int, error double")
 
 
 def visible_points(keypoints: Column, width: float, height: float, confidence: float = 0.4, margin: float = 0.1, least: int = 5, least_inside: int = 4) -> Column:

@@ -267,12 +267,13 @@ _EVENT_ROW = "match_id, seq, team, track_id, event, outcome, frame, round(time_s
 
 
 def _transitions(spark: SparkSession, d: str) -> DataFrame:
-    return E.transitions(_spells(spark, d), view(spark, d, "ball"), _directions(spark, d))
+    # spells and directions are read several times, so they are written out first
+    return E.transitions(stored(_spells(spark, d)), view(spark, d, "ball"), stored(_directions(spark, d)))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """Events of all matches, written out, as what follows reads them several times."""
-    return stored(E.build_events(_spells(spark, d), view(spark, d, "ball"), _directions(spark, d)))
+    return stored(E.shot_assists(_transitions(spark, d)))
 
 
 @query(with_views("people", "ball") + _EVENTS + f" SELECT {_EVENT_ROW} FROM told")
@@ -282,7 +283,7 @@ def transition_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("people", "ball") + _EVENTS + f" SELECT {_EVENT_ROW} FROM events_")
 def shot_assists(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.build_events(_spells(spark, d), view(spark, d, "ball"), _directions(spark, d)))
+    return rounded(E.shot_assists(_transitions(spark, d)))
 
 
 def _grid(x: str, length: str, size: str) -> str:
@@ -296,7 +297,7 @@ def _grid(x: str, length: str, size: str) -> str:
  CASE WHEN end_x IS NOT NULL THEN {_grid('end_x', '105', '120')} END AS x2, CASE WHEN end_x IS NOT NULL THEN {_grid('end_y', '68', '80')} END AS y2, 2 AS half, 'ai' AS source, round_even(confidence, 2) AS confidence, frame FROM events_"""
 )
 def tagger_rows(spark: SparkSession, d: str) -> DataFrame:
-    return E.tagger_rows(E.build_events(_spells(spark, d), view(spark, d, "ball"), _directions(spark, d)), half=2)
+    return E.tagger_rows(E.shot_assists(_transitions(spark, d)), half=2)
 
 
 def _players(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
