@@ -22,7 +22,8 @@ from tactigrid.llm.winnow import decontaminate
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the severity model rejects."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(docs, model, keep=True).where(~F.col("rejected")).select(*docs.columns)
+    scored = toxicity(docs, model, keep=True)
+    return scored.where(~column(fresh(docs.columns, "rejected"))).select(*[column(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +36,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, a similarity of 0.8."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies (five words, a similarity of 0.8), the one of the
+    smallest id; of rows that repeat an id any one. Rows with a null id stay."""
+    named = docs.where("doc_id is not null")
+    kept = near_duplicates(named).where("kept").select("doc_id").distinct()
+    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    columns = [column(c) for c in docs.columns]
+    return one.select(*columns).union(docs.where("doc_id is null").select(*columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which a window of a benchmark item occurs."""
+    """Without the documents in which a window of a benchmark item occurs. (Ids are compared with
+    null as a value, so that a row with a null id goes only if one of these has such a window.)"""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.join(hit.where("doc_id is not null"), "doc_id", "left_anti").select(*[column(c) for c in docs.columns])
+    return named if hit.where("doc_id is null").isEmpty() else named.where("doc_id is not null")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ At a similarity of 0.8 two sets share no bucket with a probability of 5e-8.
 
 Edge cases: a null or empty text, or one of white space, has an empty set and is linked with
 nothing; one word is a set of one; rows that repeat a doc_id are one document and give equal
-rows; an empty table gives an empty result.
+rows; a row with a null id is linked with nothing and kept, and has no component; an empty table
+gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import bucketed, materialize, slices, strings
+from tactigrid.llm.common import bucketed, column, materialize, slices, strings
 from tactigrid.llm.textkit import FOLD, NOT_SPACE, mix, pair, words
 
 BINS, BANDS = 128, 32
@@ -113,7 +114,7 @@ def _sketch(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), bands], names=["id", "n", "low", "high", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    sent = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    sent = docs.select(column(key).alias("id"), column(text).cast("string").alias("text"))
     return sent.mapInArrow(sketched, f"id {kind}, n bigint, low bigint, high bigint, bands array<bigint>")
 
 
@@ -247,7 +248,11 @@ def _crowds(large: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id and kept (the smallest id of its component) of every row."""
-    sketch = materialize(_sketch(docs, width, key, text), "sketch")
+    every = _sketch(docs, width, key, text)
+    kind = every.schema["id"].dataType
+    every = materialize(every, "sketch")
+    unnamed = every.where("id is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), F.lit(True).alias("kept"))
+    sketch = every.where("id is not null")
     some = sketch.where("n > 0")
     # equal sets: one of them stands for all
     folded = some.groupBy("low", "high", "n").agg(F.min_by(F.struct("id", "bands"), "id").alias("first"))
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     linked = rows.join(stars, "key").where("id <> b").select(F.col("id").alias("a"), "b")
     edges = materialize(linked.groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
     ids = rows.join(stars.select("key"), "key").select("id").distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["id"])
+    texts = docs.select(column(key).alias("id"), column(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["id"])
     texts = bucketed(texts, "id", "texts")
 
     best = edges.groupBy("a").agg(F.max_by("b", F.struct("shared", F.negative("b"))).alias("b"))
@@ -315,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
     stand = single.join(roots, "id", "left").select("low", "high", "n", F.coalesce("root", "id").alias("root"))
     out = sketch.join(stand, ["low", "high", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    return out.withColumn("kept", column(key) == F.col("component_id")).union(unnamed)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

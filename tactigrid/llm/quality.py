@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.llm.common import column, fresh
 from tactigrid.llm.ordinal import Model, score, train
 
 SELECT_AT = 0.5
@@ -23,16 +24,14 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def quality(docs: DataFrame, model: Model, select_at: float = SELECT_AT, keep: bool = False) -> DataFrame:
-    """doc_id (or, with ``keep``, every column of ``docs``), expected_rating, p_good, p_best
-    and selected of every row."""
+    """doc_id (or, with ``keep``, every column of ``docs``), expected_rating, p_fair (of a rating of
+    1 or more), p_good (of 2) and selected of every row; a name that ``docs`` has already gets
+    underscores after it."""
     out = score(docs, model, keep=keep)
-    return out.select(
-        *[F.col(f"`{c}`") for c in out.columns[:-2] if c not in ("expected_rating", "p_fair", "p_good", "selected")],
-        F.col("__expected").alias("expected_rating"),
-        F.col("__tail")[0].alias("p_fair"),
-        F.col("__tail")[1].alias("p_good"),
-        (F.col("__tail")[1] >= select_at).alias("selected"),
-    )
+    kept = out.columns[:-2]
+    names = [fresh(kept, c) for c in ("expected_rating", "p_fair", "p_good", "selected")]
+    expected, tail = (column(c) for c in out.columns[-2:])
+    return out.select(*[column(c) for c in kept], expected.alias(names[0]), tail[0].alias(names[1]), tail[1].alias(names[2]), (tail[1] >= select_at).alias(names[3]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

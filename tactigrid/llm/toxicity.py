@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.llm.common import column, fresh
 from tactigrid.llm.ordinal import Model, score, train
 
 REJECT_AT = 0.5
@@ -25,15 +26,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
 
 def toxicity(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, keep: bool = False) -> DataFrame:
     """doc_id (or, with ``keep``, every column of ``docs``), expected_severity, p_toxic,
-    p_severe and rejected of every row."""
+    p_severe and rejected of every row; a name that ``docs`` has already gets underscores after it."""
     out = score(docs, model, keep=keep)
-    return out.select(
-        *[F.col(f"`{c}`") for c in out.columns[:-2] if c not in ("expected_severity", "p_toxic", "p_severe", "rejected")],
-        F.col("__expected").alias("expected_severity"),
-        F.col("__tail")[0].alias("p_toxic"),
-        F.col("__tail")[1].alias("p_severe"),
-        (F.col("__tail")[0] >= reject_at).alias("rejected"),
-    )
+    kept = out.columns[:-2]
+    names = [fresh(kept, c) for c in ("expected_severity", "p_toxic", "p_severe", "rejected")]
+    expected, tail = (column(c) for c in out.columns[-2:])
+    return out.select(*[column(c) for c in kept], expected.alias(names[0]), tail[0].alias(names[1]), tail[1].alias(names[2]), (tail[0] >= reject_at).alias(names[3]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

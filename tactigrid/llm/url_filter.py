@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tactigrid.llm.common import column, fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules up to this number are broadcast (100 bytes each or so); beyond it the join shuffles.
@@ -55,7 +57,8 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 
 def filter_urls(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """``urls`` with columns host, path, rule and verdict added (one row per input row)."""
+    """``urls`` with columns host, path, rule and verdict added (one row per input row);
+    a name that ``urls`` has already gets underscores after it."""
     spark = urls.sparkSession
     if not isinstance(rules, DataFrame):
         rules = rule_table(spark, rules)
@@ -66,39 +69,31 @@ def filter_urls(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
     few = len(rules.take(MOST_BROADCAST_RULES + 1)) <= MOST_BROADCAST_RULES
     expression = F.concat("rule_host", "rule_path")
     known = rules.select(
-        F.substring(F.sha2(expression, 256), 1, 8).alias("__prefix"),
-        F.struct(F.length(expression).alias("long"), expression.alias("rule"), F.col("rule_verdict").alias("verdict"), F.sha2(expression, 256).alias("digest")).alias("__known"),
+        F.substring(F.sha2(expression, 256), 1, 8).alias("short"),
+        F.struct(F.length(expression).alias("long"), expression.alias("rule"), F.col("rule_verdict").alias("verdict"), F.sha2(expression, 256).alias("digest")).alias("known"),
     )
-    rows = urls.withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
+    kept = urls.columns
+    host_as, path_as, rule_as, verdict_as = (fresh(kept, c) for c in ("host", "path", "rule", "verdict"))
+    # numbered columns, so that clashing names of the input are safe
+    one = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], host_of(column(url)).alias("host"), path_of(column(url)).alias("path"))
+    rows = urls.select(F.monotonically_increasing_id().alias("row"), one.alias("one"))
+    host, path = F.col("one.host"), F.col("one.path")
+
+    def told(rows: DataFrame, rule: Column, verdict: Column) -> DataFrame:
+        return rows.select(*[F.col("one")[f"c{i}"].alias(c) for i, c in enumerate(kept)], host.alias(host_as), path.alias(path_as), rule.alias(rule_as), F.coalesce(verdict, F.lit(default)).alias(verdict_as))
+
     if not labels:
-        return rows.drop("__row", "__host", "__path", "host", "path", "rule", "verdict").select(
-            "*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
-        )
-    dots = F.size(F.split("__host", r"\."))
-    suffixes = F.array_compact(F.array(*[F.when(dots >= n, F.substring_index("__host", ".", -n)) for n in sorted(labels)]))
-    prefixes = F.array_compact(F.array(*[F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in sorted(lengths)]))
+        return told(rows, F.lit(None).cast("string"), F.lit(default))
+    dots = F.size(F.split(host, r"\."))
+    suffixes = F.array_compact(F.array(*[F.when(dots >= n, F.substring_index(host, ".", -n)) for n in sorted(labels)]))
+    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)]))
     tried = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, p), 256))))
     # one scan: the row rides along through the join and meets its own hits again in the map-side
     # half of the aggregation, so that the row number need not be the same in two scans
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    one = F.struct(*[F.col(c) for c in kept], F.col("__host"), F.col("__path"))
-    tries = rows.select("__row", one.alias("__one"), F.explode_outer(tried).alias("__digest")).withColumn("__prefix", F.substring("__digest", 1, 8))
-    known = known.withColumnRenamed("__prefix", "__short")
-    sure = (F.col("__prefix") == F.col("__short")) & (F.col("__digest") == F.col("__known.digest"))
-    best = F.col("__best")
-    return (
-        tries.join(F.broadcast(known) if few else known, sure, "left")
-        .groupBy("__row")
-        .agg(F.first("__one").alias("__one"), F.max("__known").alias("__best"))
-        .select(
-            *[F.col("__one")[c].alias(c) for c in kept],
-            F.col("__one")["__host"].alias("host"),
-            F.col("__one")["__path"].alias("path"),
-            best["rule"].alias("rule"),
-            F.coalesce(best["verdict"], F.lit(default)).alias("verdict"),
-        )
-    )
+    tries = rows.select("row", "one", F.explode_outer(tried).alias("digest")).withColumn("prefix", F.substring("digest", 1, 8))
+    sure = (F.col("prefix") == F.col("short")) & (F.col("digest") == F.col("known.digest"))
+    found = tries.join(F.broadcast(known) if few else known, sure, "left").groupBy("row").agg(F.first("one").alias("one"), F.max("known").alias("best"))
+    return told(found, F.col("best.rule"), F.col("best.verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
