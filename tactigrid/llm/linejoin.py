@@ -8,12 +8,12 @@ similarity of at least ``percent`` / 100.
    worker gets; words in order of (counter's level, hash) are words by rarity.
 2. Of lines with equal sets in one task only the first goes on; the others are settled.
 3. A line that reaches the similarity shares one of its first ``n - ceil(p n) + 1`` words (its
-   prefix). Each line goes, with its size and two bitmaps of its words, once to each part of
+   prefix). Each line goes, with its size and a bitmap of its words, once to each part of
    the words' space that one of these falls into, packed with others.
 4. In a part, lines with equal sets are settled by a digest. Lines that share a prefix word and
    pass the length filter, the positional filter (what can still be shared after the place of
    the common word) and the bitmaps are candidates. A line of which few lines share a word is
-   held against all of them; where more than ``WIDE`` do, against those next in size and place.
+   held against all of them; where more than ``WIDE`` do, against those next in size.
 5. Candidates are confirmed on the words of both lines, for each line the most likely one
    first, and the others only if that one fails. Lines that are not settled then, and haven't
    met all lines they share a word with, are held against all of these in a second run.
@@ -21,7 +21,7 @@ similarity of at least ``percent`` / 100.
 Lines of fewer than ``least`` different words are left alone; with 1, the default, none are.
 Words are compared by 46-bit numbers until the confirmation: of a line of 44 words about one
 in 10**10 has two that are taken for one. A group of lines that share a rare word is held in
-one task (36 bytes a line), whose work grows with the group, and in the second run with the
+one task (50 bytes a line or so), whose work grows with the group, and in the second run with the
 group times those of its lines that nothing has settled.
 
 Texts are shuffled by id once, into a bucketed table that the later uses read.
@@ -50,8 +50,14 @@ PERCENT, LEAST = 80, 1
 BUCKETS = 1 << 18
 #: Lines that share a word of which a line is tried with so many at first.
 WIDE = 1024
-#: Candidates of a part at first, for each of its entries; beyond that, so many for each line.
-ROOM, BEST = 8, 8
+#: Of a line with a candidate that is hardly in doubt so many candidates are told at first; of
+#: every line, if there are more than ``ROOM`` for each entry of a part.
+ROOM, BEST = 8, 4
+#: Lines of up to so many words have a bitmap of 128 bits, those of twice as many one of 256, ...
+DENSE, MOST_WORDS = 60, 256
+#: The words' space has so many parts at least: with a few, most of a line's words share one, and
+#: what a line costs would depend on the number.
+PARTS = 64
 CHUNK = 1000
 SLICE = 4 << 20
 HASH, LINE = np.uint64(39), np.uint64(46)
@@ -119,8 +125,9 @@ def _unpacked(size: int, payload: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-#: Of each line: document, line, size, digest, bitmaps, how many entries follow for it; of each entry: word, place.
-SETS = (np.int64, np.int32, np.int32, np.uint64, np.uint64, np.uint64, np.int32, np.uint32, np.int32)
+#: Of each line: how far its document's number is from the one before, line, size, digest, bitmap
+#: (all one after the other), how many entries follow for it; of each entry: word, place.
+SETS = (np.int64, np.int32, np.int32, np.uint32, np.uint64, np.int32, np.uint32, np.int32)
 PLACES = (np.int64, np.int32)
 
 
@@ -147,6 +154,32 @@ def _sets(found: Words, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarra
     return line[np.flatnonzero(np.diff(own, prepend=-1))], begin, np.diff(begin, append=len(row)), token
 
 
+def _width(size: np.ndarray) -> np.ndarray:
+    """How many 64-bit numbers the bitmap of a line takes."""
+    return np.minimum(2 << np.ceil(np.log2(np.maximum(size / DENSE, 1))).astype(np.int64), MOST_WORDS)
+
+
+def _bitmaps(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of sets of words, one after the other, and the width of each."""
+    width = _width(size)
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    bit = mix(token + np.uint64(7))
+    one, bit = ONE << (bit & np.uint64(63)), bit >> np.uint64(6)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        if len(rows) == len(width):
+            mark, group, first = one, bit, begin
+        else:
+            pick = np.repeat(width == w, size)
+            mark, group = one[pick], bit[pick]
+            first = np.cumsum(size[rows]) - size[rows]
+        group = group & np.uint64(w - 1)
+        for k in range(w):
+            out[ends[rows] - w + k] = np.bitwise_or.reduceat(np.where(group == np.uint64(k), mark, np.uint64(0)), first)
+    return out, width
+
+
 class _Seen:
     """The first place of each digest in this task, so far."""
 
@@ -196,10 +229,8 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
             if laters.any():
                 part, long, payload = _packed(int(digest[0] % np.uint64(n)), [doc[laters], at[laters]])
                 out.append((part, -long, payload))
-            bit = mix(token + np.uint64(7))
-            one = ONE << (bit & np.uint64(63))
-            side = (bit & np.uint64(64)) == 0
-            low, high = (np.bitwise_or.reduceat(np.where(x, one, np.uint64(0)), begin) for x in (side, ~side))
+            bits, width = _bitmaps(token, begin, size)
+            bits_end = np.cumsum(width)
             # (a set so small that one word more is too many is only like itself: one word will do)
             long = np.where(firsts, np.where(100 * size < percent * (size + 1), 1, size - (size * percent + 99) // 100 + 1), 0)
             ends = np.cumsum(long)
@@ -215,7 +246,9 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
                 who = owner[own]
                 lead = np.flatnonzero(np.diff(who, prepend=-1))
                 s = who[lead]
-                out.append(_packed(int(part[own[0]]), [doc[s], at[s], size[s].astype(np.int32), digest[s], low[s], high[s], np.diff(lead, append=len(who)).astype(np.int32), entry[own], place[own]]))
+                wide = width[s]
+                own_bits = bits[np.repeat(bits_end[s] - np.cumsum(wide), wide) + np.arange(int(wide.sum()))]
+                out.append(_packed(int(part[own[0]]), [np.diff(doc[s], prepend=0), at[s], size[s].astype(np.int32), (digest[s] >> np.uint64(32)).astype(np.uint32), own_bits, np.diff(lead, append=len(who)).astype(np.int32), entry[own], place[own]]))
             if out:
                 yield _send(out)
 
@@ -226,11 +259,18 @@ class _Lines:
     """All lines of a part, and the entries of those that go on, by word and size."""
 
     def __init__(self, parts: list[list[np.ndarray]]) -> None:
-        self.doc, self.line, self.size, digest, self.low, self.high, per, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc, self.line, self.size, digest, bits, per, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # each bitmap, and after all of them each folded in two, as lines of other widths see it
+        self.width = _width(self.size)
+        self.bits_at = np.cumsum(self.width) - self.width
+        half = self.width // 2
+        self.half_at = len(bits) + np.cumsum(half) - half
+        low = np.repeat(self.bits_at - (np.cumsum(half) - half), half) + np.arange(int(half.sum()))
+        self.bits = np.concatenate([bits, bits[low] | bits[low + np.repeat(half, half)]])
         owner = np.repeat(np.arange(len(per)), per)
         leads = np.zeros(len(per), bool)  # the part that has a line's first word speaks for it
         leads[owner[place == 0]] = True
-        name = mix(digest ^ mix(self.low ^ mix(self.high + self.size.astype(np.uint64))))
+        name = mix((digest.astype(np.uint64) << np.uint64(32) | self.size.astype(np.uint64)) ^ mix(bits[self.bits_at] ^ mix(bits[self.bits_at + 1])))
         order = np.argsort(name)
         twin = np.zeros(len(order), bool)
         twin[1:] = name[order[1:]] == name[order[:-1]]
@@ -264,9 +304,16 @@ class _Lines:
         na, nb, pa_, pb = self.size[a], self.size[b], self.place[one], self.place[two]
         fine = (100 + percent) * (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)) >= percent * (na + nb)
         a, b, na, nb = a[fine], b[fine], na[fine], nb[fine]
-        x, y, u, v = self.low[a], self.low[b], self.high[a], self.high[b]
-        own_a = np.bitwise_count(x & ~y).astype(np.int32) + np.bitwise_count(u & ~v)
-        own_b = np.bitwise_count(y & ~x).astype(np.int32) + np.bitwise_count(v & ~u)
+        own_a, own_b = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+        wa, wb = self.width[a], self.width[b]
+        common = np.where(np.maximum(wa, wb) <= 2 * np.minimum(wa, wb), np.minimum(wa, wb), 0)
+        for w in np.unique(common[common > 0]).tolist():
+            own = np.flatnonzero(common == w)
+            x, y = (np.where(self.width[s] == w, self.bits_at[s], self.half_at[s]) for s in (a[own], b[own]))
+            for k in range(w):
+                p, q = self.bits[x + k], self.bits[y + k]
+                own_a[own] += np.bitwise_count(p & ~q)
+                own_b[own] += np.bitwise_count(q & ~p)
         fine = (100 + percent) * np.minimum(na - own_a, nb - own_b) >= percent * (na + nb)
         a, b, far = a[fine], b[fine], (own_a + own_b)[fine]
         swap = (self.doc[a] < self.doc[b]) | ((self.doc[a] == self.doc[b]) & (self.line[a] < self.line[b]))
@@ -275,27 +322,32 @@ class _Lines:
 
 def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, room: int = 0, best: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, far) of the candidates among entries ``rows`` with those from ``lo`` to ``hi``,
-    each once, and the lines of which only the ``best`` are kept, as there are more than ``room``."""
+    each once, and the lines of which only the ``best`` are kept (with ``room``): those whose bitmap
+    shows a fifth of the words that may differ from one candidate (bitmaps hide up to two of three),
+    and all if there are more than ``room``."""
     many = hi - lo
     ends = np.cumsum(many)
     names, fars, cut = np.zeros(0, np.uint64), np.zeros(0, np.int32), [np.zeros(0, np.int64)]
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def reduced() -> None:
+    def reduced(last: bool) -> None:
         nonlocal names, fars
         names = np.concatenate([names, *[h[0] for h in held]])
         fars = np.concatenate([fars, *[h[1] for h in held]])
         held.clear()
         names, first = np.unique(names, return_index=True)  # (all of a pair are as far)
         fars = fars[first]
-        if room and len(names) > room:
+        if room and len(names) and (last or len(names) > room):
             a = (names >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((fars, a))
             begin = np.flatnonzero(np.diff(a[order], prepend=-1))
             size = np.diff(begin, append=len(order))
             nth = np.arange(len(order)) - np.repeat(begin, size)
-            cut.append(a[order][begin][size > best])
-            order = np.sort(order[nth < best])
+            lead = order[begin]
+            both = lines.size[a[lead]] + lines.size[(names[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            few = (5 * (100 + percent) * fars[lead] <= (100 - percent) * both) | (len(names) > room)
+            cut.append(a[lead][few & (size > best)])
+            order = np.sort(order[(nth < best) | ~np.repeat(few, size)])
             names, fars = names[order], fars[order]
 
     at, waiting = 0, 0
@@ -311,9 +363,9 @@ def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, perc
             held.append(((a[fine].astype(np.uint64) << np.uint64(32)) | b[fine].astype(np.uint64), far[fine]))
             waiting += int(fine.sum())
         if waiting > 2_000_000:
-            reduced()
+            reduced(False)
             waiting = 0
-    reduced()
+    reduced(True)
     return (names >> np.uint64(32)).astype(np.int64), (names & np.uint64(0xFFFFFFFF)).astype(np.int64), fars, np.unique(np.concatenate(cut))
 
 
@@ -334,7 +386,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list, list, list, int]:
             elif size < 0:
                 settled.append(_unpacked(-size, payload, PLACES))
             else:
-                sets.append(_unpacked(size, payload, SETS))
+                own = _unpacked(size, payload, SETS)
+                own[0] = np.cumsum(own[0])
+                sets.append(own)
     return sets, settled, probes, part
 
 
@@ -431,18 +485,20 @@ def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int, wide: int = WIDE, room: int = ROOM, best: int = BEST) -> DataFrame:
     """(id, line) of the lines to remove. ``docs`` are (id, text), ``table`` has (id, __text) by id."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS)
     levels = _levels(docs)
     entries = _entries(docs, levels, n, percent, least)
     found = materialize(entries.repartitionById(n, "part").mapInArrow(_first_run(percent, wide, room, best), FOUND), "found")
     place, other = ["id", "line"], ["to_id", "to_line"]
     settled = [found.where(f"kind = {SETTLED}").select(*place)]
     candidates = found.where(f"kind = {CANDIDATE}").select(*place, *other, "far")
-    likely = candidates.groupBy(*place).agg(F.min(F.struct("far", *other)).alias("b")).select(*place, "b.to_id", "b.to_line")
-    settled.append(_confirmed(likely, table, percent))
+    per = candidates.groupBy(*place).agg(F.min(F.struct("far", *other)).alias("b"), F.collect_set(F.struct(*other)).alias("all"))
+    per = materialize(per.select(*place, F.struct("b.to_id", "b.to_line").alias("b"), "all"), "candidates")
+    settled.append(_confirmed(per.select(*place, "b.*"), table, percent))
     # the others, of lines that the likeliest one didn't settle
-    rest = candidates.select(*place, *other).distinct().join(settled[1], place, "left_anti").join(likely, [*place, *other], "left_anti")
-    settled.append(_confirmed(rest, table, percent))
+    rest = per.where("size(all) > 1").join(settled[1], place, "left_anti").select(*place, F.explode(F.array_remove("all", F.col("b"))).alias("o"))
+    settled.append(_confirmed(rest.select(*place, "o.*"), table, percent))
+    free(per)
     probes = found.where(f"kind = {MORE}").select(F.col("to_line").alias("part"), *place)
     probes = materialize(probes.join(settled[1], place, "left_anti").join(settled[2], place, "left_anti"), "probes")
     if not probes.isEmpty():
