@@ -10,7 +10,8 @@ every occurring window lies in the run of its own fingerprint.
 Items of fewer words than a window are one window of their own length; only if there are any,
 the texts' grams of those lengths are looked up as well.
 
-The item side is broadcast when it has at most ``MOST_BROADCAST`` rows (of about 300 bytes),
+A bitmap of the items' marks turns down most places of the texts before anything is built of
+them. The item side is broadcast when it has at most ``MOST_BROADCAST`` rows (of about 300 bytes),
 and joined by a shuffle beyond that. The text side is read once; neither texts nor
 fingerprints of clean documents are shuffled.
 
@@ -26,8 +27,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.llm.common import column, materialize
+
 WINDOW, GRAM = 10, 5
 MOST_BROADCAST = 100_000
+#: A place in a part of a text has so many bits, and the hash of a gram the rest of 64.
+PLACE = 24
+BITS, MOST_BITS = 32, 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-case: all of ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,7 +45,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
+    text = F.coalesce(text, F.lit(""))
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
 def _numbers(upto: Column) -> Column:
@@ -47,25 +55,62 @@ def _numbers(upto: Column) -> Column:
     return F.when(upto >= 1, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>"))
 
 
-def _mark(words: Column, at: Column, kind: int, long: int, reach: int) -> Column:
+def _mark(words: Column, at: Column, mark: Column, kind: int, long: int, reach: int) -> Column:
     """A fingerprint at word ``at`` with the words up to ``reach`` before (nearest first) and after it."""
     before = F.reverse(F.slice(words, F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), at - 1))) if reach else F.array().cast("array<string>")
     after = F.slice(words, at + long, reach) if reach else F.array().cast("array<string>")
-    middle = F.slice(words, at, long)
-    return F.struct(F.lit(kind).alias("kind"), F.xxhash64(middle).alias("mark"), at.cast("int").alias("at"), middle.alias("middle"), before.alias("before"), after.alias("after"))
+    return F.struct(F.lit(kind).alias("kind"), mark.alias("mark"), at.cast("int").alias("at"), F.slice(words, at, long).alias("middle"), before.alias("before"), after.alias("after"))
+
+
+def _grams(words: Column, long: int) -> Column:
+    """For each place a number: above the hash of ``long`` words, below the place."""
+    return F.transform(_numbers(F.size(words) - long + 1), lambda i: F.xxhash64(F.slice(words, i, long)).bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(i.cast("bigint")))
+
+
+def _chosen(words: Column, window: int, gram: int) -> Column:
+    """The numbers (``_grams``) of the leftmost least gram of every window."""
+    per = window - gram + 1
+    of = lambda g: F.array_distinct(F.transform(_numbers(F.size(g) - per + 1), lambda j: F.array_min(F.slice(g, j, per))))
+    return let(_grams(words, gram), of)
+
+
+def _marks(words: Column, kind: int, long: int, reach: int, known: Column | None, numbers: Callable[[Column], Column]) -> Column:
+    """Marks at the places that ``numbers`` chooses, of those whose bit is in ``known`` (or of all).
+    Long texts are cut into parts that share a window less one word, as places have ``PLACE`` bits."""
+    step, more = 1 << (PLACE - 1), reach + long - 1
 
+    def part(c: Column) -> Column:
+        found = let(F.slice(words, c + 1, step + more), numbers)
+        if known is not None:
 
-def fingerprints(words: Column, window: int, gram: int) -> Column:
+            def has(v: Column) -> Column:
+                group = F.get(known, F.shiftright(v, PLACE + 6).bitwiseAND(F.size(known) - 1).cast("int"))
+                return F.call_function("shiftright", group, F.shiftright(v, PLACE).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+            found = F.filter(found, has)
+        return F.transform(found, lambda v: _mark(words, c + v.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"), F.shiftright(v, PLACE), kind, long, reach))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - more, F.lit(1)) - 1, F.lit(step)), part))
+
+
+def fingerprints(words: Column, window: int, gram: int, known: Column | None = None) -> Column:
     """Marks at the leftmost least gram of every window."""
-    reach, per = window - gram, window - gram + 1
-    n = F.size(words)
-    grams = F.transform(_numbers(n - gram + 1), lambda i: F.xxhash64(F.slice(words, i, gram)))
+    return _marks(words, 0, gram, window - gram, known, lambda w: _chosen(w, window, gram))
+
+
+def shorts(words: Column, long: int, known: Column | None = None) -> Column:
+    """Marks of every place with ``long`` words."""
+    return _marks(words, long, long, 0, known, lambda w: _grams(w, long))
 
-    def places(g: Column) -> Column:
-        first = lambda j: let(F.slice(g, j, per), lambda s: (j + F.array_position(s, F.array_min(s)) - 1).cast("int"))
-        return F.array_distinct(F.transform(_numbers(n - window + 1), first))
 
-    return F.transform(let(grams, places), lambda at: _mark(words, at, 0, gram, reach))
+def _bits(known: DataFrame, n: int) -> Column:
+    """The ``n`` marks of ``known`` as a bitmap: a constant list of a power of two of 64-bit numbers.
+    It has ``BITS`` bits for each mark up to ``MOST_BITS``; beyond, it turns down fewer."""
+    size = 1 << (min(max(n * BITS, 1 << 12), MOST_BITS) - 1).bit_length() >> 6
+    group = F.shiftright("i_mark", 6).bitwiseAND(F.lit(size - 1)).alias("group")
+    rows = known.select(group, F.expr("shiftleft(1L, cast(i_mark & 63 as int))").alias("bit")).groupBy("group").agg(F.bit_or("bit").alias("bits"))
+    own = {r.group: r.bits for r in rows.collect()}  # MOST_BITS / 64 rows at most
+    return F.split(F.lit(",".join(str(own.get(k, 0)) for k in range(size))), ",").cast("array<bigint>")
 
 
 def _equal_run(a: Column, b: Column, most: int) -> Column:
@@ -85,20 +130,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     w = F.col("words")
     marks = F.when(F.size(w) >= window, fingerprints(w, window, gram))
     for m in lengths:
-        marks = marks.when(F.size(w) == m, F.array(_mark(w, F.lit(1), m, m, 0)))
+        marks = marks.when(F.size(w) == m, shorts(w, m))
     known = known.select("item", F.explode(marks).alias("i")).select("item", *[F.col(f"i.{c}").alias(f"i_{c}") for c in ("kind", "mark", "middle", "before", "after")]).distinct()
-    few = len(known.select("i_kind").take(MOST_BROADCAST + 1)) <= MOST_BROADCAST
+    known = materialize(known, "marks")
+    marked = known.count()
+    few = marked <= MOST_BROADCAST
+    bits = _bits(known, marked)
 
     def tried(words: Column) -> Column:
-        n = F.size(words)
         none = F.array().cast("array<string>")
-        base = F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("mark"), n.cast("int").alias("at"), none.alias("middle"), none.alias("before"), none.alias("after"))
-        parts = [F.array(base), fingerprints(words, window, gram)]
-        marked = lambda m: lambda at: _mark(words, at, m, m, 0)
-        parts += [F.transform(_numbers(n - m + 1), marked(m)) for m in lengths]
-        return F.concat(*parts)
+        # (a mark of its own, which nothing meets, so that a join by shuffle deals these rows out)
+        own = F.xxhash64(F.col("__key")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        base = F.struct(F.lit(-1).alias("kind"), own.alias("mark"), F.size(words).cast("int").alias("at"), none.alias("middle"), none.alias("before"), none.alias("after"))
+        return F.concat(F.array(base), fingerprints(words, window, gram, bits), *[shorts(words, m, bits) for m in lengths])
 
-    rows = docs.select(F.col(key).alias("__key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text"), F.explode(let(words_of(F.col(text)), tried)).alias("d"))
+    rows = docs.select(column(key).alias("__key"), column(text).alias("__words")).select("__key", F.xxhash64(F.coalesce("__words", F.lit(""))).alias("__text"), F.explode(let(words_of(F.col("__words")), tried)).alias("d"))
     rows = rows.select("__key", "__text", *[F.col(f"d.{c}").alias(c) for c in ("kind", "mark", "at", "middle", "before", "after")])
     met = rows.join(F.broadcast(known) if few else known, (F.col("kind") == F.col("i_kind")) & (F.col("mark") == F.col("i_mark")), "left")
     left, right = _equal_run(F.col("before"), F.col("i_before"), reach), _equal_run(F.col("after"), F.col("i_after"), reach)
