@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactigrid.config import LENGTH, WIDTH
-from tactigrid.functions.geometry import distance, project
+from tactigrid.functions.geometry import distance, half_even, project
 
 CORNERS = np.array([[0.0, 0.0], [LENGTH, 0.0], [LENGTH, WIDTH], [0.0, WIDTH]])
 #: A fit is believed up to so many pixels of mean error, if the pitch takes such a share of the picture.
@@ -223,5 +223,5 @@ def held_out_errors(points: DataFrame) -> DataFrame:
 def calibration_summary(solved: DataFrame, matches: DataFrame) -> DataFrame:
     """For each of ``matches`` (match_id) how many frames were solved, the mean error in pixels and
     the mean number of points; 0 and nulls where none was."""
-    n = solved.groupBy("match_id").agg(F.count("*").alias("solved"), F.bround(F.avg("error"), 2).alias("mean_error"), F.bround(F.avg("n_points"), 1).alias("mean_points"))
+    n = solved.groupBy("match_id").agg(F.count("*").alias("solved"), half_even(F.avg("error"), 2).alias("mean_error"), half_even(F.avg("n_points"), 1).alias("mean_points"))
     return matches.select("match_id").distinct().join(n, "match_id", "left").withColumn("solved", F.coalesce("solved", F.lit(0)))

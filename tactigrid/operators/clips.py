@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactigrid.functions.geometry import half_even
+
 from tactigrid.config import Clips
 
 EVENT = "struct<event:string,player:string,team:string,event_frame:bigint,confidence:double>"
@@ -45,4 +47,4 @@ def label(start_frame: Column, events: Column, fps: float) -> Column:
 
 
 def described(clips: DataFrame, fps: float) -> DataFrame:
-    return clips.select("match_id", "clip", "start_frame", "end_frame", label(F.col("start_frame"), F.col("events"), fps).alias("label"), F.bround((F.col("end_frame") - F.col("start_frame")) / fps, 2).alias("duration_s"), F.size("events").alias("n_events"))
+    return clips.select("match_id", "clip", "start_frame", "end_frame", label(F.col("start_frame"), F.col("events"), fps).alias("label"), half_even((F.col("end_frame") - F.col("start_frame")) / fps, 2).alias("duration_s"), F.size("events").alias("n_events"))

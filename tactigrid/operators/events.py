@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactigrid.config import BOX_WIDTH, GOALKEEPER, LENGTH, WIDTH, Events
-from tactigrid.functions.geometry import clock, distance, in_box, in_goal_mouth, to_tagger
+from tactigrid.functions.geometry import clock, distance, half_even, in_box, in_goal_mouth, to_tagger
 from tactigrid.functions.ranges import between_frames
 
 KEYS = ["match_id", "spell"]
@@ -120,7 +120,8 @@ def transitions(spells: DataFrame, ball: DataFrame, directions: DataFrame, fps:
     on = ~F.col("shot") & has & (F.col("flight") <= c.max_flight)
     tackle = on & ~same & (near <= c.tackle_reach) & (F.col("flight") <= c.tackle_time)
     played = on & ~tackle & (F.col("far") >= c.min_pass) & (F.col("far") <= F.when(F.col("is_goalkeeper"), c.max_keeper_pass).otherwise(c.max_pass))
-    weigh = lambda prior, e: F.bround(prior * (c.evidence_floor + (1 - c.evidence_floor) * e), 3)
+    rest = round(1 - c.evidence_floor, 9)  # (0.45, and not a little less, which would turn halves down)
+    weigh = lambda prior, e: half_even(prior * (c.evidence_floor + rest * e), 3)
 
     def own(slot: int, when: Column, event: Column, outcome: Column, begin: Column, end: Column, prior: Column) -> Column:
         return F.when(when, F.struct(F.lit(slot).alias("slot"), F.col("team").alias("team"), F.col("track_id").alias("track_id"), event.alias("event"), outcome.alias("outcome"), F.col("end_frame").alias("frame"), F.col("end_time").alias("time_s"), begin.alias("start"), end.alias("end"), weigh(prior, F.col("evidence")).alias("confidence")))
@@ -176,6 +177,6 @@ def tagger_rows(events: DataFrame, half: int = 1) -> DataFrame:
     mins, secs = clock(F.col("time_s"))
     none = F.col("end_x").isNull()
     return events.select(
-        "match_id", "seq", "team", "track_id", "event", "outcome", mins.alias("mins"), secs.alias("secs"), F.bround(x, 1).alias("x"), F.bround(y, 1).alias("y"),
-        F.when(~none, F.bround(x2, 1)).alias("x2"), F.when(~none, F.bround(y2, 1)).alias("y2"), h.alias("half"), F.lit("ai").alias("source"), F.bround("confidence", 2).alias("confidence"), "frame",
+        "match_id", "seq", "team", "track_id", "event", "outcome", mins.alias("mins"), secs.alias("secs"), half_even(x, 1).alias("x"), half_even(y, 1).alias("y"),
+        F.when(~none, half_even(x2, 1)).alias("x2"), F.when(~none, half_even(y2, 1)).alias("y2"), h.alias("half"), F.lit("ai").alias("source"), half_even(F.col("confidence"), 2).alias("confidence"), "frame",
     )

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactigrid.functions.geometry import half_even
 from tactigrid.functions.ranges import between_frames
 
 
@@ -76,8 +77,8 @@ def shot_summary(found: DataFrame) -> DataFrame:
     play = F.coalesce(F.sum(F.when(F.col("playable"), F.col("frames"))), F.lit(0))
     return found.groupBy("match_id").agg(
         F.count("*").alias("shots"), (F.count("*") - 1).alias("cuts"), F.count_if("playable").alias("playable_shots"), play.alias("playable_frames"),
-        F.bround(play / F.sum("frames"), 3).alias("playable_share"), F.max("frames").alias("longest_shot_frames"),
-        F.coalesce(F.bround(F.try_divide(F.sum("calibrated"), F.sum("attempted")), 3), F.lit(0.0)).alias("coverage"),
+        half_even(play / F.sum("frames"), 3).alias("playable_share"), F.max("frames").alias("longest_shot_frames"),
+        F.coalesce(half_even(F.try_divide(F.sum("calibrated"), F.sum("attempted")), 3), F.lit(0.0)).alias("coverage"),
     )
 
 

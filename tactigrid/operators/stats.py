@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactigrid.config import GOALKEEPER, REFEREE
-from tactigrid.functions.geometry import distance, percent
+from tactigrid.functions.geometry import distance, half_even, percent
 from tactigrid.operators.tracks import TRACK, physical_stats
 
 PASSES = ("Pass", "Cross", "Shot Assist")
@@ -62,11 +62,11 @@ def pass_network(events: DataFrame, players: DataFrame, least: int = 2) -> DataF
 
 
 def pass_nodes(players: DataFrame) -> DataFrame:
-    return players.where(F.col("avg_x").isNotNull() & F.col("team").isin(1, 2)).select("match_id", "team", "track_id", F.bround("avg_x", 1).alias("x"), F.bround("avg_y", 1).alias("y"), "touches")
+    return players.where(F.col("avg_x").isNotNull() & F.col("team").isin(1, 2)).select("match_id", "team", "track_id", half_even(F.col("avg_x"), 1).alias("x"), half_even(F.col("avg_y"), 1).alias("y"), "touches")
 
 
 def totals(events: DataFrame, people: DataFrame) -> DataFrame:
-    seen = people.groupBy("match_id").agg(F.countDistinct("track_id").alias("tracked"), F.bround((F.max("time_s") - F.min("time_s")) / 60, 1).alias("minutes"))
+    seen = people.groupBy("match_id").agg(F.countDistinct("track_id").alias("tracked"), half_even((F.max("time_s") - F.min("time_s")) / 60, 1).alias("minutes"))
     n = events.groupBy("match_id").agg(F.count("*").alias("events"))
     return seen.join(n, "match_id", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 

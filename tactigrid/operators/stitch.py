@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactigrid.config import PLAYER, Stitch
-from tactigrid.functions.geometry import distance, vector_distance
+from tactigrid.functions.geometry import distance, half_even, vector_distance
 from tactigrid.operators.assignment import assign
 from tactigrid.sources.scratch import stored
 from tactigrid.operators.tracks import TRACK
@@ -142,7 +142,7 @@ def link(parts: DataFrame, fps: float = 25.0, frame_width: float = 1920.0, confi
 
 def report(mapping: DataFrame) -> DataFrame:
     n = mapping.groupBy("match_id").agg(F.count("*").alias("before"), F.countDistinct("root").alias("after"))
-    return n.withColumns({"merges": F.col("before") - F.col("after"), "reduction": F.bround(1 - F.col("after") / F.col("before"), 3)})
+    return n.withColumns({"merges": F.col("before") - F.col("after"), "reduction": half_even(1 - F.col("after") / F.col("before"), 3)})
 
 
 def remap_labels(labels: DataFrame, mapping: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactigrid.functions.geometry import half_even
+
 EXPORT = ["team", "player", "event", "outcome", "mins", "secs", "x", "y", "x2", "y2", "half", "source", "confidence"]
 MOST_EVENTS = 20_000
 
@@ -12,7 +14,7 @@ MOST_EVENTS = 20_000
 def export_rows(events: DataFrame) -> DataFrame:
     """The export's columns in order; confidence to two places, nothing where it is null."""
     rows = events.orderBy("match_id", "mins", "secs", "event_id") if "match_id" in events.columns else events.orderBy("mins", "secs", "event_id")
-    return rows.select(*[F.bround("confidence", 2).alias(c) if c == "confidence" else F.col(c) for c in EXPORT if c in events.columns])
+    return rows.select(*[half_even(F.col("confidence"), 2).alias(c) if c == "confidence" else F.col(c) for c in EXPORT if c in events.columns])
 
 
 def write_csv(events: DataFrame, path: str) -> None:

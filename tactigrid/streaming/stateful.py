@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactigrid.config import Possession
+from tactigrid.functions.geometry import half_even
 from tactigrid.operators.possession import Hysteresis
 from tactigrid.operators.segments import CutFinder
 
@@ -61,7 +62,7 @@ def timeline_stream(holders: DataFrame, kickoff: str = "2000-01-01 00:00:00", wi
     at = F.timestamp_micros((F.unix_micros(F.to_timestamp(F.lit(kickoff))) + F.col("time_s") * 1_000_000).cast("bigint"))
     rows = holders.where(F.col("holder") >= 0).withColumn("at", at).withWatermark("at", late)
     n = rows.groupBy("match_id", F.window("at", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("holder_team") == 1).alias("n1"), F.count_if(F.col("holder_team") == 2).alias("n2"))
-    share = lambda c: F.bround(100.0 * F.col(c) / F.col("n"), 1)
+    share = lambda c: half_even(100.0 * F.col(c) / F.col("n"), 1)
     return n.select("match_id", F.col("w.start").alias("start"), share("n1").alias("team_1"), share("n2").alias("team_2"))
 
 
