@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.functions import geometry as G
 from tactigrid.operators import ball as B
 from tactigrid.operators import events as E
 from tactigrid.operators import possession as P
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to ``digits`` places, as both engines sum in orders of their own."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[G.rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query(
