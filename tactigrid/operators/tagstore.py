@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactigrid.config import GRID_X, GRID_Y
-from tactigrid.functions.geometry import clamp, half_up
+from tactigrid.functions.geometry import clamp, half_even, half_up
 
 PASS_LIKE = ("Pass", "Cross", "Shot Assist")
 
@@ -82,12 +82,15 @@ def event_at(events: DataFrame, clicks: DataFrame, axis: float, reach: float = 9
     """(click_id, event_id): the event drawn nearest to each click (click_id, match_id, x, y, width,
     duration_s) on the timeline, events of team 2 below the axis, others above, less than
     ``reach`` away (height counts a quarter). Events (event_id, match_id, t, team_no) that can be
-    near in time are met in buckets of a second's share of the width."""
+    near in time are met in buckets of a second's share of the width. Of those drawn at one place
+    the smallest id goes on, as it is the one that a click there would get."""
+    # (an event is drawn at t / duration * width, in this order: places that are equally far stay so)
     per = F.col("duration_s") / F.col("width")
-    c = clicks.withColumns({"at": F.col("x") * per, "span": per * reach})
+    c = clicks.withColumns({"at": F.col("x") * per, "span": per * reach + 1e-6})
     c = c.withColumn("b", F.explode(F.sequence(F.floor(F.col("at") - F.col("span")).cast("bigint"), F.floor(F.col("at") + F.col("span")).cast("bigint"))))
-    e = events.select("match_id", "event_id", "t", "team_no", F.floor("t").cast("bigint").alias("b"))
-    d = F.abs(F.col("t") / per - F.col("x")) + F.abs(F.when(F.col("team_no") == 2, axis + 15.0).otherwise(axis - 15.0) - F.col("y")) * 0.25
+    below = F.coalesce(F.col("team_no") == 2, F.lit(False))
+    e = events.groupBy("match_id", "t", below.alias("below")).agg(F.min("event_id").alias("event_id")).withColumn("b", F.floor("t").cast("bigint"))
+    d = F.abs(F.col("t") / F.col("duration_s") * F.col("width") - F.col("x")) + F.abs(F.when(F.col("below"), axis + 15.0).otherwise(axis - 15.0) - F.col("y")) * 0.25
     return c.join(e, ["match_id", "b"]).withColumn("d", d).where(F.col("d") < reach).groupBy("click_id").agg(F.min_by("event_id", F.struct("d", "event_id")).alias("event_id"))
 
 
@@ -132,7 +135,7 @@ def identity_detail(before: Column, after: Column, merges: Column) -> Column:
 def diagnostics(videos: DataFrame, **parts: DataFrame) -> DataFrame:
     """(match_id, diagnostics): one JSON object a match, of videos (match_id, width, height, fps,
     frames, stride) and of any ``parts``, tables of one row a match, each under its name."""
-    v = videos.select("match_id", F.struct("width", "height", F.bround("fps", 2).alias("fps"), "frames", F.bround(F.col("frames") / F.col("fps"), 1).alias("duration_s")).alias("video"), F.struct("stride", F.bround(F.col("fps") / F.col("stride"), 2).alias("effective_fps")).alias("sampling"))
+    v = videos.select("match_id", F.struct("width", "height", half_even(F.col("fps"), 2).alias("fps"), "frames", half_even(F.col("frames") / F.col("fps"), 1).alias("duration_s")).alias("video"), F.struct("stride", half_even(F.col("fps") / F.col("stride"), 2).alias("effective_fps")).alias("sampling"))
     for name, df in parts.items():
         v = v.join(df.select("match_id", F.struct(*[c for c in df.columns if c != "match_id"]).alias(name)), "match_id", "left")
     return v.select("match_id", F.to_json(F.struct(*[c for c in v.columns if c != "match_id"])).alias("diagnostics"))
