@@ -43,15 +43,22 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(n), n)
 
 
+def _whole(c: Column, kind: str) -> Column:
+    """A whole number, or null: digits as they stand, as a double holds 15 of them, and other
+    numbers less what is after the point."""
+    digits = F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c).try_cast(kind))
+    return F.coalesce(digits, _number(c).try_cast(kind))
+
+
 def payload_rows(raw: DataFrame) -> DataFrame:
     """Event payloads, all columns text as sent, to store rows: texts cut to size, numbers coerced,
     what is no number null, zero track and frame null, no half the first, no source a person."""
     text = lambda c, n, default="": F.substring(F.coalesce(c, F.lit(default)), 1, n).alias(c.lower())
-    whole = lambda c, default: F.coalesce(_number(F.col(c)).try_cast("int"), F.lit(default))
+    whole = lambda c, default: F.coalesce(_whole(F.col(c), "int"), F.lit(default))
     return raw.select(
         text("Team", 100), text("Player", 200), text("Event", 100), text("Outcome", 100), whole("Mins", 0).alias("mins"), whole("Secs", 0).alias("secs"),
         *[_number(F.col(c)).alias(c.lower()) for c in ("X", "Y", "X2", "Y2")], F.coalesce(F.nullif(whole("half", 1), F.lit(0)), F.lit(1)).alias("half"), F.substring(F.coalesce(F.nullif("source", F.lit("")), F.lit("manual")), 1, 20).alias("source"),
-        _number(F.col("confidence")).alias("confidence"), F.nullif(whole("track_id", 0), F.lit(0)).alias("track_id"), F.nullif(_number(F.col("frame")).try_cast("bigint"), F.lit(0)).alias("frame"),
+        _number(F.col("confidence")).alias("confidence"), F.nullif(whole("track_id", 0), F.lit(0)).alias("track_id"), F.nullif(_whole(F.col("frame"), "bigint"), F.lit(0)).alias("frame"),
     )
 
 
