@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactigrid.functions.geometry import half_even
@@ -25,12 +25,29 @@ def write_json(events: DataFrame, path: str) -> None:
     export_rows(events).write.mode("overwrite").json(path)
 
 
-def nested_export(matches: DataFrame, events: DataFrame) -> DataFrame:
-    """(match_id, document): a match with its events in order, as JSON."""
+def nested_export_parts(matches: DataFrame, events: DataFrame, most: int = 2000) -> DataFrame:
+    """(match_id, part, before, listed, after): the document of a match in parts of at most ``most``
+    events, so that a long match needs no task that holds it. ``listed`` is a JSON array; in order
+    of parts, ``before``, what is inside the array and ``after`` make up the document."""
     rest = [c for c in events.columns if c != "match_id"]
-    inside = events.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{c}") for c in ("mins", "secs", "event_id")], F.struct(*rest).alias("e")))).alias("l"))
-    out = matches.join(inside, "match_id", "left").withColumn("events", F.transform(F.coalesce("l", F.array().cast(inside.schema["l"].dataType)), lambda s: s["e"])).drop("l")
-    return out.select("match_id", F.to_json(F.struct(*out.columns)).alias("document"))
+    made = F.to_json(F.struct(*matches.columns))
+    head = F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.when(made == "{}", "").otherwise(","), F.lit('"events":['))
+    heads = matches.select("match_id", head.alias("head")).join(events.groupBy("match_id").agg(F.count("*").alias("n")), "match_id", "left")
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy("e.mins", "e.secs", "e.event_id")) - 1
+    # (the few heads are the side that is hashed, and a match's rows are shuffled once for join and window)
+    rows = events.select("match_id", F.struct(*rest).alias("e")).join(heads.where("n IS NOT NULL").hint("shuffle_hash"), "match_id").withColumn("place", place)
+    rows = rows.select("match_id", F.floor(F.col("place") / most).cast("int").alias("part"), "place", "e", F.when(F.col("place") == 0, F.col("head")).alias("before"), F.when(F.col("place") == F.col("n") - 1, "]}").alias("after"))
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("place", "e"))), lambda s: s["e"])
+    parts = rows.repartition("match_id", "part").groupBy("match_id", "part").agg(F.coalesce(F.max("before"), F.lit(",")).alias("before"), F.to_json(inside).alias("listed"), F.coalesce(F.max("after"), F.lit("")).alias("after"))
+    return parts.unionByName(heads.where("n IS NULL").select("match_id", F.lit(0).alias("part"), F.col("head").alias("before"), F.lit("[]").alias("listed"), F.lit("]}").alias("after")))
+
+
+def nested_export(matches: DataFrame, events: DataFrame) -> DataFrame:
+    """(match_id, document): a match with its events in order, as JSON. The document is one value;
+    ``nested_export_parts`` gives it in pieces."""
+    text = F.concat("before", F.substring("listed", F.lit(2), F.length("listed") - 2), "after")
+    parts = nested_export_parts(matches, events).select("match_id", "part", text.alias("text"))
+    return parts.groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), "").alias("document"))
 
 
 def csv_cell(c: str):
