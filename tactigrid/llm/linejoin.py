@@ -16,7 +16,8 @@ similarity of at least ``percent`` / 100.
    held against all of them; where more than ``WIDE`` do, against those next in size.
 5. Candidates are confirmed on the words of both lines, for each line the most likely one
    first, and the others only if that one fails. Lines that are not settled then, and haven't
-   met all lines they share a word with, are held against all of these in a second run.
+   met all lines they share a word with, are held against all of these in a second run, to which
+   only lines go that have such a word.
 
 Lines of fewer than ``least`` different words are left alone; with 1, the default, none are.
 Words are compared by 46-bit numbers until the confirmation: of a line of 44 words about one
@@ -63,6 +64,10 @@ SLICE = 4 << 20
 HASH, LINE = np.uint64(39), np.uint64(46)
 ONE = np.uint64(1)
 
+#: Words of lines that go into the second run are marked in a table of so many places, by all but
+#: the last ``MARK`` bits.
+MARKS, MARK = 1 << 22, np.uint32(10)
+
 CANDIDATE, SETTLED, MORE = 0, 1, 2
 PACKED = "part int, size bigint, payload binary"
 FOUND = "id bigint, line int, to_id bigint, to_line int, far int, kind int"
@@ -136,10 +141,14 @@ def _send(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(payload, pa.binary())], names=["part", "size", "payload"])
 
 
-def _sets(found: Words, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(line, its first word in token, its size, token) of the sets of words, rarest first."""
+def _tokens(found: Words, levels: np.ndarray) -> np.ndarray:
+    """Words as numbers whose order is by rarity."""
     h = found.hashes()
-    token = levels[(h % np.uint64(BUCKETS)).astype(np.int64)] | (mix(h) >> (np.uint64(64) - HASH))
+    return levels[(h % np.uint64(BUCKETS)).astype(np.int64)] | (mix(h) >> (np.uint64(64) - HASH))
+
+
+def _sets(token: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, its first word in token, its size, token) of the sets of words, rarest first."""
     own = np.cumsum(np.diff(line, prepend=line[:1]) != 0)  # lines that have words, from 0
     out, rows = [], []
     for to in range(0, int(own[-1]) + 1, 1 << 18):
@@ -205,9 +214,52 @@ class _Seen:
         return firsts[old:], laters[old:]
 
 
-def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: int) -> DataFrame:
-    """Packed rows of ``n`` parts: lines with their prefix words, and (size below 0) settled places."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _short(token: np.ndarray) -> np.ndarray:
+    """A prefix word as it is sent; its part of ``n`` is the remainder by ``n``."""
+    return (mix(token) >> np.uint64(32)).astype(np.uint32)
+
+
+def _prefixes(begin: np.ndarray, size: np.ndarray, token: np.ndarray, on: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, word) of the prefix words of the sets that are ``on``."""
+    # (a set so small that one word more is too many is only like itself: one word will do)
+    long = np.where(on, np.where(100 * size < percent * (size + 1), 1, size - (size * percent + 99) // 100 + 1), 0)
+    ends = np.cumsum(long)
+    place = (np.arange(int(ends[-1])) - np.repeat(ends - long, long)).astype(np.int32)
+    return np.repeat(np.arange(len(size)), long), place, _short(token[np.repeat(begin, long) + place])
+
+
+def _marks(probes: DataFrame, table: DataFrame, levels: np.ndarray, n: int, percent: int, least: int) -> np.ndarray:
+    """Which of ``MARKS`` classes the prefix words fall into that ``probes`` (part, id, line) share
+    with others in their parts. A table of fixed size; words that fall into a class by chance do no harm."""
+    shared = table.sparkSession.sparkContext.broadcast(levels)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(MARKS, bool)
+        for batch in slices(batches, "text", SLICE):
+            texts = strings(batch.column(0))
+            found = words(texts, NOT_SPACE)
+            if not len(found.rows):
+                continue
+            row, begin, size, token = _sets(_tokens(found, shared.value), line_of(found, texts)[0])  # (a text is a line)
+            owner, _, word = _prefixes(begin, size, token, size >= least, percent)
+            parts = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
+            own = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy()) * n + parts.flatten().to_numpy()
+            out[word[np.isin(row[owner] * n + word % np.uint32(n), own)] >> MARK] = True
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.packbits(out).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["m"])
+
+    place = ["id", "line"]
+    per = probes.groupBy(*place).agg(F.collect_set("part").alias("parts"))
+    texts = _line_texts(table, probes.select(*place)).join(per, place).select("text", "parts")
+    out = np.zeros(MARKS // 8, np.uint8)
+    for m in texts.repartition(16).mapInArrow(marked, "m binary").toArrow()["m"].to_pylist():  # 16 rows
+        out |= np.frombuffer(pa.decompress(m, MARKS // 8, codec="zstd", asbytes=True), np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: int, marks: np.ndarray | None = None) -> DataFrame:
+    """Packed rows of ``n`` parts: lines with their prefix words, and (size below 0) settled places.
+    With ``marks`` only prefix words so marked, and the lines that have one."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, marks))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -217,8 +269,16 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
             found = words(texts, NOT_SPACE)
             if not len(found.rows):
                 continue
+            levels, marks = shared.value
             line, first_line = line_of(found, texts)
-            line, begin, size, token = _sets(found, line, shared.value)
+            token = _tokens(found, levels)
+            if marks is not None:
+                some = np.zeros(int(line[-1]) + 1, bool)
+                some[line[marks[_short(token) >> MARK]]] = True
+                line, token = line[some[line]], token[some[line]]
+                if not len(line):
+                    continue
+            line, begin, size, token = _sets(token, line)
             row = np.searchsorted(first_line, line, side="right") - 1
             doc, at = ids[row], (line - first_line[row]).astype(np.int32)
             digest = np.add.reduceat(mix(token), begin)
@@ -226,18 +286,17 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
             firsts, laters = np.zeros(len(size), bool), np.zeros(len(size), bool)
             firsts[some], laters[some] = seen.first(digest[some], doc[some], at[some])
             out = []
-            if laters.any():
+            if laters.any() and marks is None:
                 part, long, payload = _packed(int(digest[0] % np.uint64(n)), [doc[laters], at[laters]])
                 out.append((part, -long, payload))
             bits, width = _bitmaps(token, begin, size)
             bits_end = np.cumsum(width)
-            # (a set so small that one word more is too many is only like itself: one word will do)
-            long = np.where(firsts, np.where(100 * size < percent * (size + 1), 1, size - (size * percent + 99) // 100 + 1), 0)
-            ends = np.cumsum(long)
-            place = (np.arange(int(ends[-1])) - np.repeat(ends - long, long)).astype(np.int32)
-            entry = token[np.repeat(begin, long) + place]
-            entry = (mix(entry) >> np.uint64(32)).astype(np.uint32)
-            owner = np.repeat(np.arange(len(size)), long)
+            owner, place, entry = _prefixes(begin, size, token, firsts, percent)
+            if marks is not None:
+                some = marks[entry >> MARK]
+                owner, place, entry = owner[some], place[some], entry[some]
+                if not len(owner):
+                    continue
             part = entry % np.uint32(n)
             order = np.argsort(part, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1)), len(order))
@@ -503,7 +562,8 @@ def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int,
     probes = materialize(probes.join(settled[1], place, "left_anti").join(settled[2], place, "left_anti"), "probes")
     if not probes.isEmpty():
         none = F.lit(None)
-        rows = entries.select("*", none.cast("bigint").alias("id"), none.cast("int").alias("line"))
+        marks = _marks(probes, table, levels, n, percent, least)
+        rows = _entries(docs, levels, n, percent, least, marks).select("*", none.cast("bigint").alias("id"), none.cast("int").alias("line"))
         rows = rows.union(probes.select("part", F.lit(0).cast("bigint"), none.cast("binary"), *place))
         again = rows.repartitionById(n, "part").mapInArrow(_second_run(percent), FOUND)
         settled.append(_confirmed(again.select(*place, *other).distinct(), table, percent))
