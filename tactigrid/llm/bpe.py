@@ -2,7 +2,7 @@
 
 A text is cut before white space that follows a non-space character. No pre-token of the
 byte-level pattern reaches across such a place and its look-ahead looks only at white space,
-so the parts give exactly the tokens of the whole ("safe boundary"). Each worker keeps the
+so the parts give exactly the tokens of the whole ("safe boundary"). A task keeps the
 units it has met (a bounded number) with their ids; the rest is array arithmetic.
 
 Units of well-known characters go to a faster implementation built from the merges of the
@@ -71,9 +71,10 @@ class Encoder:
         self.fast = self._fast(spec) if self.units_hold else None
         if self.fast is not None:
             self.width = np.array([len(self.fast.decode_single_token_bytes(i)) for i in range(self.fast.n_vocab)], np.int64)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the store: it has served its task, and the worker may have others to do."""
         self.code: dict[str, int] = {}
         self.n, self.used = 0, 0
         self.lens = np.zeros(1 << 14, np.int64)
@@ -140,7 +141,7 @@ class Encoder:
     def _codes(self, units: list[str]) -> np.ndarray:
         """The number of each (distinct) unit in the worker's store."""
         if self.n + len(units) > MOST_UNITS and self.n:
-            self._forget()
+            self.forget()
         codes = np.fromiter(map(self.code.get, units, itertools.repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(codes < 0)
         if len(missing):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             at = to
 
 
+def eased(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``each``, at the end of which freed memory goes back to the machine. Workers live on from one
+    stage to the next, and what they keep would count against the next one's."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # (not every C library has it)
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """``df`` as a table bucketed by ``key`` into as many buckets as there are shuffle partitions: one
     shuffle, after which joins on ``key`` take the other side to where these rows are."""

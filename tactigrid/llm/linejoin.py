@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import bucketed, column, free, fresh, materialize, numbered, slices, strings
+from tactigrid.llm.common import bucketed, column, eased, free, fresh, materialize, numbered, slices, strings
 from tactigrid.llm.textkit import NOT_SPACE, Words, mix, words
 from tactigrid.llm.winnow import let
 
@@ -108,7 +108,7 @@ def _levels(docs: DataFrame) -> np.ndarray:
         ends = pa.array(np.arange(0, BUCKETS + 1, own, dtype=np.int32))
         return pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(total))], names=["k", "n"])
 
-    got = docs.mapInArrow(counted, "k int, n array<bigint>").repartition(64, "k").mapInArrow(summed, "k int, n array<bigint>").toArrow()  # 64 rows
+    got = docs.mapInArrow(eased(counted), "k int, n array<bigint>").repartition(64, "k").mapInArrow(eased(summed), "k int, n array<bigint>").toArrow()  # 64 rows
     out = np.zeros(BUCKETS, np.int64)
     for k, x in zip(got["k"].to_pylist(), got["n"].to_pylist(), strict=True):
         out[k * own : (k + 1) * own] = x
@@ -251,7 +251,7 @@ def _marks(probes: DataFrame, table: DataFrame, levels: np.ndarray, n: int, perc
     per = probes.groupBy(*place).agg(F.collect_set("part").alias("parts"))
     texts = _line_texts(table, probes.select(*place)).join(per, place).select("text", "parts")
     out = np.zeros(MARKS // 8, np.uint8)
-    for m in texts.repartition(16).mapInArrow(marked, "m binary").toArrow()["m"].to_pylist():  # 16 rows
+    for m in texts.repartition(16).mapInArrow(eased(marked), "m binary").toArrow()["m"].to_pylist():  # 16 rows
         out |= np.frombuffer(pa.decompress(m, MARKS // 8, codec="zstd", asbytes=True), np.uint8)
     return np.unpackbits(out).astype(bool)
 
@@ -311,7 +311,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
             if out:
                 yield _send(out)
 
-    return docs.mapInArrow(listed, PACKED)
+    return docs.mapInArrow(eased(listed), PACKED)
 
 
 class _Lines:
@@ -508,7 +508,7 @@ def _line_texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["id", "line", "text"])
 
     per = wanted.groupBy("id").agg(F.collect_set("line").alias("lines"))
-    return table.select("id", F.col("__text").alias("text")).join(per.hint("shuffle_hash"), "id").select("id", "text", "lines").mapInArrow(picked, "id bigint, line int, text string")
+    return table.select("id", F.col("__text").alias("text")).join(per.hint("shuffle_hash"), "id").select("id", "text", "lines").mapInArrow(eased(picked), "id bigint, line int, text string")
 
 
 def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
@@ -537,7 +537,7 @@ def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     to = to.select("to_id", "to_line", "to_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = pairs.join(per, ["to_id", "to_line"]).withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.col("salts")).cast("int"))
     rows = rows.join(texts, ["id", "line"]).join(to, ["to_id", "to_line", "salt"]).select("id", "line", "text", "to_text")
-    out = materialize(rows.mapInArrow(confirmed, "id bigint, line int").distinct(), "confirmed")
+    out = materialize(rows.mapInArrow(eased(confirmed), "id bigint, line int").distinct(), "confirmed")
     free(pairs, texts)
     return out
 
@@ -547,7 +547,7 @@ def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int,
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS)
     levels = _levels(docs)
     entries = _entries(docs, levels, n, percent, least)
-    found = materialize(entries.repartitionById(n, "part").mapInArrow(_first_run(percent, wide, room, best), FOUND), "found")
+    found = materialize(entries.repartitionById(n, "part").mapInArrow(eased(_first_run(percent, wide, room, best)), FOUND), "found")
     place, other = ["id", "line"], ["to_id", "to_line"]
     settled = [found.where(f"kind = {SETTLED}").select(*place)]
     candidates = found.where(f"kind = {CANDIDATE}").select(*place, *other, "far")
@@ -565,7 +565,7 @@ def repeated_lines(docs: DataFrame, table: DataFrame, percent: int, least: int,
         marks = _marks(probes, table, levels, n, percent, least)
         rows = _entries(docs, levels, n, percent, least, marks).select("*", none.cast("bigint").alias("id"), none.cast("int").alias("line"))
         rows = rows.union(probes.select("part", F.lit(0).cast("bigint"), none.cast("binary"), *place))
-        again = rows.repartitionById(n, "part").mapInArrow(_second_run(percent), FOUND)
+        again = rows.repartitionById(n, "part").mapInArrow(eased(_second_run(percent)), FOUND)
         settled.append(_confirmed(again.select(*place, *other).distinct(), table, percent))
     out = settled[0]
     for more in settled[1:]:

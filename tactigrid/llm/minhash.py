@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import bucketed, column, materialize, slices, strings
+from tactigrid.llm.common import bucketed, column, eased, materialize, slices, strings
 from tactigrid.llm.textkit import FOLD, NOT_SPACE, mix, pair, words
 
 BINS, BANDS = 128, 32
@@ -115,7 +115,7 @@ def _sketch(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.select(column(key).alias("id"), column(text).cast("string").alias("text"))
-    return sent.mapInArrow(sketched, f"id {kind}, n bigint, low bigint, high bigint, bands array<bigint>")
+    return sent.mapInArrow(eased(sketched), f"id {kind}, n bigint, low bigint, high bigint, bands array<bigint>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     centres = per.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     members = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     members = members.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return members.join(centres, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(confirmed, f"a {kind}, b {kind}")
+    return members.join(centres, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(eased(confirmed), f"a {kind}, b {kind}")
 
 
 def _jump(parents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import column, fresh, slices, strings
+from tactigrid.llm.common import column, eased, fresh, slices, strings
 from tactigrid.llm.textkit import FOLD, LETTERS, NOT_SPACE, mix, pair, words
 
 #: The sample: at most so many labelled rows; the model: at most so many features.
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, up: bool, key: str = "doc_id", tex
     kind = docs.schema[key].dataType.simpleString()
     # (of rows that repeat an id one, so that the sample is bounded; the broadcast is of most_labelled rows)
     rows = docs.select(column(key).alias("key"), column(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.max("text").alias("text"), F.max("grade").alias("grade"))
-    rows = rows.mapInArrow(hashed, f"key {kind}, grade int, sketch array<bigint>, features array<bigint>")
+    rows = rows.mapInArrow(eased(hashed), f"key {kind}, grade int, sketch array<bigint>, features array<bigint>")
     sample = rows.toArrow().combine_chunks() if hasattr(rows, "toArrow") else pa.Table.from_pandas(rows.toPandas())
     sample = sample.sort_by([("key", "ascending")])
     # a text that shares a sketch with one before it is a copy, whose words would count twice
@@ -254,5 +254,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     # clashing names of the input are safe: only numbered columns go through the worker
     sent = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(columns)], column(text).cast("string").alias("__text"))
     fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = sent.mapInArrow(scored, f"{fields}, __expected double, __tail array<double>")
+    out = sent.mapInArrow(eased(scored), f"{fields}, __expected double, __tail array<double>")
     return out.toDF(*columns, fresh(columns, "__expected"), fresh(columns, "__tail"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactigrid.llm.bpe import encoder
-from tactigrid.llm.common import slices, strings
+from tactigrid.llm.common import eased, slices, strings
 
 SLICE = 6 << 20
 LIMIT = 1024
@@ -59,8 +59,9 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = 0,
     and (with ``ids``) the ids themselves."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
         for batch in slices(batches, "text", SLICE):
-            counts, flat = encoder(vocabulary).encode(strings(batch.column(1)))
+            counts, flat = own.encode(strings(batch.column(1)))
             total = counts + 1
             ends = np.cumsum(total)
             every = np.full(int(ends[-1]), end_id, np.uint32)
@@ -78,10 +79,11 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = 0,
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(every.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
+        own.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
-    got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, schema)
+    got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(eased(pieces), schema)
     return got.withColumnRenamed("key", key).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
 
 

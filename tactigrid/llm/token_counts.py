@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactigrid.llm.bpe import encoder
-from tactigrid.llm.common import slices, strings
+from tactigrid.llm.common import eased, slices, strings
 
 SLICE = 6 << 20
 
@@ -26,14 +26,16 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     """``key``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
         for batch in slices(batches, "text", SLICE):
             texts = strings(batch.column(1))
-            tokens, _ = encoder(vocabulary).encode(texts, want_ids=False)
+            tokens, _ = own.encode(texts, want_ids=False)
             size = pc.cast(pc.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(tokens), pa.array(tokens > limit)], names=["key", "n_bytes", "n_tokens", "over_limit"])
+        own.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lengths, f"key {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    got = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(eased(lengths), f"key {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return got.withColumnRenamed("key", key)
 
 
