@@ -13,7 +13,8 @@ similarity of at least ``percent`` / 100.
 4. In a part, lines with equal sets are settled by a digest. Lines that share a prefix word and
    pass the length filter, the positional filter (what can still be shared after the place of
    the common word) and the bitmaps are candidates. A line of which few lines share a word is
-   held against all of them; where more than ``WIDE`` do, against those next in size.
+   held against all of them; where more than ``WIDE`` do, against those next in size, and only if
+   none of them is likely against the others (as long as that is no more work again).
 5. Candidates are confirmed on the words of both lines, for each line the most likely one
    first, and the others only if that one fails. Lines that are not settled then, and haven't
    met all lines they share a word with, are held against all of these in a second run, to which
@@ -351,11 +352,14 @@ class _Lines:
         self.key, self.owner, self.place = key[order], owner[order], place[order]
 
     def upto(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each entry the first and the end of those with its word that the length filter lets pass."""
+        """For each entry the first and the end of those with its word that the length filter lets pass.
+        A line so small that one word more is too many has none: it is only like its twins."""
         word, size = self.key & ~np.uint64(0xFFFFFFFF), self.size[self.owner]
         lo = np.searchsorted(self.key, word | ((size * percent + 99) // 100).astype(np.uint64))
         hi = np.searchsorted(self.key, word | np.minimum(size.astype(np.int64) * 100 // percent, 0xFFFFFFFF).astype(np.uint64), side="right")
-        return lo, hi
+        i = np.arange(len(lo))
+        alone = 100 * size < percent * (size + 1)
+        return np.where(alone, i, lo), np.where(alone, i + 1, hi)
 
     def tried(self, one: np.ndarray, two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(later, earlier, far) of the pairs of entries that pass the positional filter and the bitmaps."""
@@ -379,11 +383,17 @@ class _Lines:
         return np.where(swap, b, a), np.where(swap, a, b), far
 
 
-def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, room: int = 0, best: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sure(lines: _Lines, a: np.ndarray, b: np.ndarray, far: np.ndarray, percent: int, share: int) -> np.ndarray:
+    """Which candidates' bitmaps show at most one of ``share`` of the words that may differ. With 5 a
+    candidate is hardly in doubt (bitmaps hide up to two of three), with 2 it is likely."""
+    return share * (100 + percent) * far <= (100 - percent) * (lines.size[a] + lines.size[b])
+
+
+def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, room: int = 0, best: int = BEST, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, far) of the candidates among entries ``rows`` with those from ``lo`` to ``hi``,
-    each once, and the lines of which only the ``best`` are kept (with ``room``): those whose bitmap
-    shows a fifth of the words that may differ from one candidate (bitmaps hide up to two of three),
-    and all if there are more than ``room``."""
+    each once, and the lines of which only the ``best`` are kept (with ``room``): those with a candidate
+    that is hardly in doubt, and all if there are more than ``room``. With ``wanted`` only those of
+    which the later line is one of them."""
     many = hi - lo
     ends = np.cumsum(many)
     names, fars, cut = np.zeros(0, np.uint64), np.zeros(0, np.int32), [np.zeros(0, np.int64)]
@@ -403,8 +413,7 @@ def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, perc
             size = np.diff(begin, append=len(order))
             nth = np.arange(len(order)) - np.repeat(begin, size)
             lead = order[begin]
-            both = lines.size[a[lead]] + lines.size[(names[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            few = (5 * (100 + percent) * fars[lead] <= (100 - percent) * both) | (len(names) > room)
+            few = _sure(lines, a[lead], (names[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64), fars[lead], percent, 5) | (len(names) > room)
             cut.append(a[lead][few & (size > best)])
             order = np.sort(order[(nth < best) | ~np.repeat(few, size)])
             names, fars = names[order], fars[order]
@@ -418,6 +427,8 @@ def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, perc
         at = to
         a, b, far = lines.tried(one, two, percent)
         fine = a != b
+        if wanted is not None:
+            fine &= wanted[a]
         if fine.any():
             held.append(((a[fine].astype(np.uint64) << np.uint64(32)) | b[fine].astype(np.uint64), far[fine]))
             waiting += int(fine.sum())
@@ -464,10 +475,31 @@ def _first_run(percent: int, wide: int, room: int, best: int) -> Callable:
             yield _found(lines, lines.settled, None, 0, SETTLED)
         i = np.arange(len(lines.key))
         lo, hi = lines.upto(percent)
-        a, b, far, cut = _pairs(lines, i, np.maximum(lo, i - wide), i, percent, 1 + room * len(i), best)
+        most = 1 + room * len(i)
+        a, b, far, cut = _pairs(lines, i, np.maximum(lo, i - wide), i, percent, most, best)
         if len(a):
             yield _found(lines, a, b, far, CANDIDATE)
-        more = np.unique(np.concatenate([lines.owner[(i - lo > wide) | (hi - 1 - i > wide)], cut]))
+        partly = (i - lo > wide) | (hi - 1 - i > wide)
+        left = np.zeros(len(lines.size), bool)
+        left[lines.owner[partly]] = True
+        # lines without a likely candidate are held against all at once, as far as that takes no more
+        # than the above; most of these are the first of their kind, which nothing settles
+        doubt = left.copy()
+        doubt[a[_sure(lines, a, b, far, percent, 2)]] = False
+        rows = np.flatnonzero(doubt[lines.owner])
+        if len(rows):
+            cost = np.bincount(lines.owner[rows], hi[rows] - lo[rows], len(left))
+            order = np.flatnonzero(doubt)
+            order = order[np.argsort(cost[order], kind="stable")]
+            doubt[order[np.cumsum(cost[order]) > wide * len(i)]] = False
+            rows = rows[doubt[lines.owner[rows]]]
+            a, b, far, more = _pairs(lines, rows, lo[rows], hi[rows], percent, most, best, doubt)
+            if len(a):
+                yield _found(lines, a, b, far, CANDIDATE)
+            left[doubt] = False
+            left[more] = True
+        left[cut] = True
+        more = np.flatnonzero(left)
         if len(more):
             yield _found(lines, more, None, part, MORE)
 
@@ -484,10 +516,9 @@ def _second_run(percent: int) -> Callable:
         wanted = np.isin(name(lines.doc, lines.line), name(np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int32)))
         lo, hi = lines.upto(percent)
         rows = np.flatnonzero(wanted[lines.owner])
-        a, b, far, _ = _pairs(lines, rows, lo[rows], hi[rows], percent)
-        fine = wanted[a]
-        if fine.any():
-            yield _found(lines, a[fine], b[fine], far[fine], CANDIDATE)
+        a, b, far, _ = _pairs(lines, rows, lo[rows], hi[rows], percent, wanted=wanted)
+        if len(a):
+            yield _found(lines, a, b, far, CANDIDATE)
 
     return tried
 

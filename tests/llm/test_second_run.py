@@ -32,3 +32,24 @@ def test_only_lines_with_a_shared_word_go_into_the_second_run(spark, monkeypatch
         own = t.split("\n")
         keep = [x for k, x in enumerate(own) if not any((j, m) < (i, k) and 100 * len(s & set(x.split())) >= 80 * len(s | set(x.split())) for j, m, s in lines)]
         assert got[i] == "\n".join(keep), i
+
+
+def test_the_first_of_many_variants_is_settled_in_the_first_run(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    # variants of one line that share its rare words, as many as the first run doesn't all hold together,
+    # lines of three words that share one, and others
+    base = [word() for _ in range(18)]
+    docs = [(i, " ".join([*base[:k], word(), *base[k:]])) for i, k in enumerate(rng.choices(range(18), k=120))]
+    docs += [(200 + i, f"{base[0]}q {word()} {word()}") for i in range(90)] + [(300 + i, " ".join(word() for _ in range(8))) for i in range(50)]
+    rng.shuffle(docs)
+    second = []
+    entries = linejoin._entries
+    monkeypatch.setattr(linejoin, "_entries", lambda *args: (second.append(1) if len(args) > 5 else None, entries(*args))[1])
+    got = {r.doc_id: r.text for r in linejoin.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), wide=40).collect()}
+    assert not second
+    sets = sorted((i, set(t.split())) for i, t in docs)
+    for n, (i, s) in enumerate(sets):
+        gone = any(100 * len(s & x) >= 80 * len(s | x) for _, x in sets[:n])
+        assert (got[i] == "") == gone, i
+    assert sum(t == "" for t in got.values()) == 119
