@@ -79,10 +79,14 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back, so
-    that a lost executor costs only the stage in flight. Removed by ``free`` or when the driver ends."""
+    that a lost executor costs only the stage in flight. Removed by ``free`` or when the driver ends.
+    With ``few`` (rows, for their number of tasks) an eighth as many tasks at most write it as there
+    are shuffle partitions: on a local disk each file costs Hadoop two processes that set its mode."""
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/tactigrid/{label}-{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)

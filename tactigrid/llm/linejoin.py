@@ -568,7 +568,7 @@ def _confirmed(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     to = to.select("to_id", "to_line", "to_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = pairs.join(per, ["to_id", "to_line"]).withColumn("salt", F.pmod(F.xxhash64("id", "line"), F.col("salts")).cast("int"))
     rows = rows.join(texts, ["id", "line"]).join(to, ["to_id", "to_line", "salt"]).select("id", "line", "text", "to_text")
-    out = materialize(rows.mapInArrow(eased(confirmed), "id bigint, line int").distinct(), "confirmed")
+    out = materialize(rows.mapInArrow(eased(confirmed), "id bigint, line int").distinct(), "confirmed", few=True)
     free(pairs, texts)
     return out
 

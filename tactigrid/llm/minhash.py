@@ -157,16 +157,16 @@ def _jump(parents: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of ``edges`` (a, b); the root is the smallest id reachable.
     Alternates large-star and small-star, each written out, until nothing changes."""
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few=True)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", few=True)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small, "small-star")
+        edges = materialize(small, "small-star", few=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -230,13 +230,13 @@ def _crowds(large: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     ends = large.groupBy("key").agg(F.min("id").alias("b"))
     crowd = connected(large.join(ends, "key").select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "crowd")
     members = large.select("id", "root").distinct().join(crowd, "id", "left").select("id", "root", F.coalesce("crowd", "id").alias("crowd"))
-    members = materialize(members, "crowds")
+    members = materialize(members, "crowds", few=True)
     sizes = members.groupBy("crowd", "root").agg(F.count("*").alias("size"))
     rest = sizes.where(f"size < {BLOCK}").groupBy("crowd").agg(F.sum("size").alias("rest"))
     cut = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).cast("string")
     own = F.col("size") >= BLOCK
     blocks = members.join(sizes, ["crowd", "root"]).join(rest, "crowd", "left").select("crowd", "id", "root", F.when(own, F.col("root")).alias("whole"), F.when(own, F.concat(F.lit("own "), F.col("root").cast("string"), F.lit(" "), cut("size"))).otherwise(F.concat(F.lit("rest "), cut("rest"))).alias("block"))
-    blocks = materialize(blocks, "blocks")
+    blocks = materialize(blocks, "blocks", few=True)
     names = blocks.select("crowd", "block", "whole").distinct()
     one, two = names.select("crowd", F.col("block").alias("one"), F.col("whole").alias("wa")), names.select("crowd", F.col("block").alias("two"), F.col("whole").alias("wb"))
     meet = one.join(two, "crowd").where("one <= two and (wa <> wb or wa is null or wb is null)").select("crowd", "one", "two")
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     size = single.select("id", "n")
     near = lambda p: p.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
     tried = best.select("a", "b")
-    todo = materialize(near(across(edges.select("a", "b"))).join(tried, ["a", "b"], "left_anti"), "star-pairs")
+    todo = materialize(near(across(edges.select("a", "b"))).join(tried, ["a", "b"], "left_anti"), "star-pairs", few=True)
     if not todo.isEmpty():
         found = materialize(_confirm(todo, texts, width, percent), "confirmed")
         if not found.isEmpty():
