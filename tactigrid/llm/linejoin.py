@@ -13,8 +13,8 @@ similarity of at least ``percent`` / 100.
 4. In a part, lines with equal sets are settled by a digest. Lines that share a prefix word and
    pass the length filter, the positional filter (what can still be shared after the place of
    the common word) and the bitmaps are candidates. A line of which few lines share a word is
-   held against all of them; where more than ``WIDE`` do, against those next in size, and only if
-   none of them is likely against the others (as long as that is no more work again).
+   held against all of them; where more than ``WIDE`` do, against those next in size, and unless
+   one of these is hardly in doubt against the others (as long as that is no more than twice the work).
 5. Candidates are confirmed on the words of both lines, for each line the most likely one
    first, and the others only if that one fails. Lines that are not settled then, and haven't
    met all lines they share a word with, are held against all of these in a second run, to which
@@ -23,7 +23,7 @@ similarity of at least ``percent`` / 100.
 Lines of fewer than ``least`` different words are left alone; with 1, the default, none are.
 Words are compared by 46-bit numbers until the confirmation: of a line of 44 words about one
 in 10**10 has two that are taken for one. A group of lines that share a rare word is held in
-one task (50 bytes a line or so), whose work grows with the group, and in the second run with the
+one task (100 bytes a line or so), whose work grows with the group, and in the second run with the
 group times those of its lines that nothing has settled.
 
 Texts are shuffled by id once, into a bucketed table that the later uses read.
@@ -61,7 +61,11 @@ DENSE, MOST_WORDS = 60, 256
 #: what a line costs would depend on the number.
 PARTS = 64
 CHUNK = 1000
+#: So many pairs are tried at a time, which a processor's cache holds.
+TRIED = 1 << 17
 SLICE = 4 << 20
+#: Texts are cut into words so many bytes at a time, which a processor's cache holds with what comes of them.
+BLOCK = 1 << 19
 HASH, LINE = np.uint64(39), np.uint64(46)
 ONE = np.uint64(1)
 
@@ -92,7 +96,7 @@ def _levels(docs: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", BLOCK):
             h = words(strings(batch.column(1)), NOT_SPACE).hashes()
             total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield _rows(total)
@@ -148,12 +152,25 @@ def _tokens(found: Words, levels: np.ndarray) -> np.ndarray:
     return levels[(h % np.uint64(BUCKETS)).astype(np.int64)] | (mix(h) >> (np.uint64(64) - HASH))
 
 
+def _line_words(batch: pa.RecordBatch, at: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts in column ``at`` as ``_tokens``, the line of each, and each text's first line."""
+    out, before = [], 0
+    for block in slices(iter([batch]), batch.schema.names[at], BLOCK):
+        texts = strings(block.column(at))
+        found = words(texts, NOT_SPACE)
+        line, first = line_of(found, texts)
+        out.append((_tokens(found, levels), line + before, first + before))
+        before += int(np.count_nonzero(found.raw == 10)) + len(texts)
+    token, line, first = (np.concatenate(x) for x in zip(*out, strict=True))
+    return token, line, first
+
+
 def _sets(token: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
     """(line, its first word in token, its size, token) of the sets of words, rarest first."""
     own = np.cumsum(np.diff(line, prepend=line[:1]) != 0)  # lines that have words, from 0
     out, rows = [], []
-    for to in range(0, int(own[-1]) + 1, 1 << 18):
-        lo, hi = np.searchsorted(own, [to, to + (1 << 18)])
+    for to in range(0, int(own[-1]) + 1, 1 << 11):
+        lo, hi = np.searchsorted(own, [to, to + (1 << 11)])
         key = np.sort(token[lo:hi] | ((own[lo:hi] - to).astype(np.uint64) << LINE))
         new = np.ones(hi - lo, bool)
         new[1:] = key[1:] != key[:-1]
@@ -175,18 +192,8 @@ def _bitmaps(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     ends = np.cumsum(width)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
     bit = mix(token + np.uint64(7))
-    one, bit = ONE << (bit & np.uint64(63)), bit >> np.uint64(6)
-    for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
-        if len(rows) == len(width):
-            mark, group, first = one, bit, begin
-        else:
-            pick = np.repeat(width == w, size)
-            mark, group = one[pick], bit[pick]
-            first = np.cumsum(size[rows]) - size[rows]
-        group = group & np.uint64(w - 1)
-        for k in range(w):
-            out[ends[rows] - w + k] = np.bitwise_or.reduceat(np.where(group == np.uint64(k), mark, np.uint64(0)), first)
+    at = np.repeat(ends - width, size) + ((bit >> np.uint64(6)).astype(np.int64) & np.repeat(width - 1, size))
+    np.bitwise_or.at(out, at, ONE << (bit & np.uint64(63)))
     return out, width
 
 
@@ -265,14 +272,11 @@ def _entries(docs: DataFrame, levels: np.ndarray, n: int, percent: int, least: i
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in slices(batches, "text", SLICE):
-            texts = strings(batch.column(1))
             ids = batch.column(0).to_numpy()
-            found = words(texts, NOT_SPACE)
-            if not len(found.rows):
-                continue
             levels, marks = shared.value
-            line, first_line = line_of(found, texts)
-            token = _tokens(found, levels)
+            token, line, first_line = _line_words(batch, 1, levels)
+            if not len(token):
+                continue
             if marks is not None:
                 some = np.zeros(int(line[-1]) + 1, bool)
                 some[line[marks[_short(token) >> MARK]]] = True
@@ -350,11 +354,14 @@ class _Lines:
         key = (token.astype(np.uint64) << np.uint64(32)) | self.size[owner].astype(np.uint64)
         order = np.argsort(key)
         self.key, self.owner, self.place = key[order], owner[order], place[order]
+        # of each entry the size of its line, its bitmap's width and first number, and that of the folded one
+        self.long, self.wide = self.size[self.owner], self.width[self.owner].astype(np.int32)
+        self.head, self.half_head = self.bits[self.bits_at[self.owner]], self.bits[self.half_at[self.owner]]
 
     def upto(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """For each entry the first and the end of those with its word that the length filter lets pass.
         A line so small that one word more is too many has none: it is only like its twins."""
-        word, size = self.key & ~np.uint64(0xFFFFFFFF), self.size[self.owner]
+        word, size = self.key & ~np.uint64(0xFFFFFFFF), self.long
         lo = np.searchsorted(self.key, word | ((size * percent + 99) // 100).astype(np.uint64))
         hi = np.searchsorted(self.key, word | np.minimum(size.astype(np.int64) * 100 // percent, 0xFFFFFFFF).astype(np.uint64), side="right")
         i = np.arange(len(lo))
@@ -363,29 +370,48 @@ class _Lines:
 
     def tried(self, one: np.ndarray, two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(later, earlier, far) of the pairs of entries that pass the positional filter and the bitmaps."""
-        a, b = self.owner[one], self.owner[two]
-        na, nb, pa_, pb = self.size[a], self.size[b], self.place[one], self.place[two]
-        fine = (100 + percent) * (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)) >= percent * (na + nb)
-        a, b, na, nb = a[fine], b[fine], na[fine], nb[fine]
-        own_a, own_b = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+        na, nb, pa_, pb = self.long[one], self.long[two], self.place[one], self.place[two]
+        fine = np.flatnonzero((100 + percent) * (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)) >= percent * (na + nb))
+        na, nb = na[fine], nb[fine]
+        one, two = one[fine], two[fine]
+        # most pairs are no candidates after the first bits
+        wa, wb = self.wide[one], self.wide[two]
+        p, q = self.head[one], self.head[two]
+        if (wa != wb).any():
+            p, q = np.where(wa <= wb, p, self.half_head[one]), np.where(wb <= wa, q, self.half_head[two])
+        fine = (100 + percent) * np.minimum(na - np.bitwise_count(p & ~q), nb - np.bitwise_count(q & ~p)) >= percent * (na + nb)
+        fine = np.flatnonzero(fine | (np.maximum(wa, wb) > 2 * np.minimum(wa, wb)))
+        na, nb = na[fine], nb[fine]
+        # (sets of equal size that aren't equal lack a word of each other at least)
+        few = np.flatnonzero((100 + percent) * (np.minimum(na, nb) - (na == nb)) >= percent * (na + nb))
+        a, b, na, nb = self.owner[one[fine[few]]], self.owner[two[fine[few]]], na[few], nb[few]
         wa, wb = self.width[a], self.width[b]
         common = np.where(np.maximum(wa, wb) <= 2 * np.minimum(wa, wb), np.minimum(wa, wb), 0)
+        kept, fars = [np.flatnonzero(common == 0)], [np.zeros(int((common == 0).sum()), np.int32)]
         for w in np.unique(common[common > 0]).tolist():
             own = np.flatnonzero(common == w)
             x, y = (np.where(self.width[s] == w, self.bits_at[s], self.half_at[s]) for s in (a[own], b[own]))
+            least = percent * (na[own] + nb[own])
+            in_a, in_b = na[own], nb[own]  # words that may be shared, as far as bits have been seen
             for k in range(w):
                 p, q = self.bits[x + k], self.bits[y + k]
-                own_a[own] += np.bitwise_count(p & ~q)
-                own_b[own] += np.bitwise_count(q & ~p)
-        fine = (100 + percent) * np.minimum(na - own_a, nb - own_b) >= percent * (na + nb)
-        a, b, far = a[fine], b[fine], (own_a + own_b)[fine]
+                in_a = in_a - np.bitwise_count(p & ~q)
+                in_b = in_b - np.bitwise_count(q & ~p)
+                fine = np.flatnonzero((100 + percent) * np.minimum(in_a, in_b) >= least)
+                if len(fine) < len(own):
+                    own, x, y, least, in_a, in_b = own[fine], x[fine], y[fine], least[fine], in_a[fine], in_b[fine]
+            kept.append(own)
+            fars.append(na[own] + nb[own] - in_a - in_b)
+        own, far = np.concatenate(kept), np.concatenate(fars)
+        a, b = a[own], b[own]
         swap = (self.doc[a] < self.doc[b]) | ((self.doc[a] == self.doc[b]) & (self.line[a] < self.line[b]))
         return np.where(swap, b, a), np.where(swap, a, b), far
 
 
 def _sure(lines: _Lines, a: np.ndarray, b: np.ndarray, far: np.ndarray, percent: int, share: int) -> np.ndarray:
     """Which candidates' bitmaps show at most one of ``share`` of the words that may differ. With 5 a
-    candidate is hardly in doubt (bitmaps hide up to two of three), with 2 it is likely."""
+    candidate is hardly in doubt (bitmaps hide up to two of three), with 2 it is likely; but of many
+    lines that are a bit less alike than it takes, some always look likely."""
     return share * (100 + percent) * far <= (100 - percent) * (lines.size[a] + lines.size[b])
 
 
@@ -420,7 +446,7 @@ def _pairs(lines: _Lines, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, perc
 
     at, waiting = 0, 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TRIED, side="right")))
         size = many[at:to]
         one = np.repeat(rows[at:to], size)
         two = np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[at:to], size)
@@ -482,16 +508,18 @@ def _first_run(percent: int, wide: int, room: int, best: int) -> Callable:
         partly = (i - lo > wide) | (hi - 1 - i > wide)
         left = np.zeros(len(lines.size), bool)
         left[lines.owner[partly]] = True
-        # lines without a likely candidate are held against all at once, as far as that takes no more
-        # than the above; most of these are the first of their kind, which nothing settles
-        doubt = left.copy()
-        doubt[a[_sure(lines, a, b, far, percent, 2)]] = False
+        # lines without a candidate that is hardly in doubt are held against all at once, those without a
+        # likely one first, as far as that takes no more than twice the above; most of these are the first
+        # of their kind, which nothing settles
+        doubt, likely = left.copy(), np.zeros(len(left), bool)
+        doubt[a[_sure(lines, a, b, far, percent, 5)]] = False
+        likely[a[_sure(lines, a, b, far, percent, 2)]] = True
         rows = np.flatnonzero(doubt[lines.owner])
         if len(rows):
             cost = np.bincount(lines.owner[rows], hi[rows] - lo[rows], len(left))
             order = np.flatnonzero(doubt)
-            order = order[np.argsort(cost[order], kind="stable")]
-            doubt[order[np.cumsum(cost[order]) > wide * len(i)]] = False
+            order = order[np.lexsort((cost[order], likely[order]))]
+            doubt[order[np.cumsum(cost[order]) > 2 * wide * len(i)]] = False
             rows = rows[doubt[lines.owner[rows]]]
             a, b, far, more = _pairs(lines, rows, lo[rows], hi[rows], percent, most, best, doubt)
             if len(a):
